@@ -26,6 +26,7 @@ from logframe.sinks.export import (
 from logframe.sources.catalog import (
     Service,
     catalog_frame,
+    list_log_files,
     list_rotated,
     read_catalog,
     service_catalog,

@@ -13,6 +13,11 @@ def strip_cr(line: Column) -> Column:
     return F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line)
 
 
+def line_bytes(value: Column) -> Column:
+    """Bytes of a line in its file: with a carriage return, if any, and the line end."""
+    return (F.octet_length(value) + 1).cast("long")
+
+
 def is_blank(text: Column) -> Column:
     return F.ltrim(text, F.lit(P.SPACE_CHARS)) == ""
 
@@ -42,12 +47,20 @@ def split_block(block: Column) -> Column:
     return F.struct(first_line(block).alias("first_line"), stack_trace(block).alias("stack_trace"))
 
 
-def clean(text: Column) -> Column:
-    """Trim; the placeholder words for "nothing" become null."""
-    trimmed = F.btrim(text, F.lit(P.TRIM_CHARS))
+def trim_all(text: Column) -> Column:
+    """Drop spaces and control characters at both ends."""
+    return F.btrim(text, F.lit(P.TRIM_CHARS))
+
+
+def null_if_placeholder(trimmed: Column) -> Column:
+    """The placeholder words for "nothing" become null."""
     return F.when(~trimmed.isin(*P.NULL_WORDS), trimmed)
 
 
+def clean(text: Column) -> Column:
+    return null_if_placeholder(trim_all(text))
+
+
 def split_context(context: Column) -> Column:
     """A user-context bracket as (user, site, tenant); missing parts are null."""
     parts = F.split(context, ",", 3)

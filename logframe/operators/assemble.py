@@ -1,62 +1,65 @@
 """Lines to entry blocks: a line that does not open an entry belongs to the entry above it.
 
-The text is shuffled once, by (service, file, input split): a key that no single file can make hot.
-Everything local to a split happens on that distribution, the running entry number, the byte
-position and the joining of lines. What a split cannot know by itself (how many entries, bytes and
-lines come before it, and which lines at the head of later splits continue its last entry) is one
-row per split, computed from the same shuffled data and hash-joined on the same key, so that the
-text does not move again. Nothing is broadcast.
+The text is shuffled once, by (file, input split): a key that no single file can make hot. Everything
+local to a split happens on that distribution, the running entry number, the byte position and the
+joining of lines. What a split cannot know by itself (how many entries, bytes and lines come before
+it, and which lines at the head of later splits continue its last entry) is one row per split. Those
+rows are computed from the same shuffle, which Spark reuses as every reader of it needs the same four
+columns, and are hash-joined on the same key, so that the text does not move again. Nothing is
+broadcast. A file travels as a 64-bit id; its path comes back with the row per split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logframe.functions import text as X
 
-_SPLIT = ("service", "file_path", "split_start")
-_FILE = ("service", "file_path")
+_SPLIT = ("file_id", "split_start")
 
 
-def _placed(lines: DataFrame, keep_blank: bool) -> DataFrame:
-    """Each line with its running entry number, byte and line position within its split.
+def file_id() -> Column:
+    return F.xxhash64("file_path")
 
-    Number 0 holds the lines before the first entry of the split.
-    """
-    kept = F.lit(True) if keep_blank else (F.col("is_new") == 1) | ~X.is_blank(F.col("line"))
-    upto = Window.partitionBy(*_SPLIT).orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(
-        *_SPLIT, "row_id", "line", "n_bytes", X.is_new_entry(F.col("line")).cast("long").alias("is_new")
-    )
-    return marked.select(
-        *_SPLIT,
-        "row_id",
-        "line",
-        "n_bytes",
-        "is_new",
-        kept.alias("kept"),
-        F.sum("is_new").over(upto).alias("local_seq"),
-        (F.sum("n_bytes").over(upto) - F.col("n_bytes")).alias("byte_pos"),
-        F.count(F.lit(1)).over(upto).alias("line_pos"),
+
+def file_ids(files: DataFrame) -> DataFrame:
+    """One row per file and service: id, service and path. Two paths under one id fail the job."""
+    clash = F.raise_error(F.concat(F.lit("Two log files share an id: "), F.array_join("paths", ", ")))
+    return (
+        files.groupBy(file_id().alias("file_id"))
+        .agg(F.collect_set("file_path").alias("paths"), F.collect_set("service").alias("services"))
+        .select(
+            "file_id",
+            F.explode_outer("services").alias("service"),
+            F.when(F.size("paths") > 1, clash).otherwise(F.get("paths", F.lit(0))).alias("file_path"),
+        )
     )
 
 
-def _split_index(placed: DataFrame) -> DataFrame:
-    """One row per split: what comes before it in its file, and the lines that continue its tail."""
-    head = F.when((F.col("local_seq") == 0) & F.col("kept"), F.struct("row_id", "line"))
-    per_split = placed.groupBy(*_SPLIT).agg(
-        F.sum("is_new").alias("n_new"),
-        F.sum("n_bytes").alias("n_bytes"),
+def _split_index(rows: DataFrame, files: DataFrame, kept: Column) -> DataFrame:
+    """One row per split that opens an entry or its file: what precedes it and continues its tail."""
+    new = X.is_new_entry(F.col("line"))
+    totals = rows.groupBy(*_SPLIT).agg(
+        F.count_if(new).alias("n_new"),
+        F.sum(X.line_bytes(F.col("value"))).alias("n_bytes"),
         F.count(F.lit(1)).alias("n_lines"),
-        F.transform(F.sort_array(F.collect_list(head)), lambda r: r["line"]).alias("head"),
+        F.coalesce(F.min(F.when(new, F.col("row_id"))), F.lit(2**63 - 1)).alias("first_new"),
     )
-    in_file = Window.partitionBy(*_FILE).orderBy("split_start")
+    head = F.when((F.col("row_id") < F.col("first_new")) & kept, F.struct("row_id", "line"))
+    per_split = (
+        rows.join(totals.hint("shuffle_hash"), list(_SPLIT))
+        .groupBy(*_SPLIT)
+        .agg(
+            *[F.first(c).alias(c) for c in ("n_new", "n_bytes", "n_lines")],
+            F.transform(F.sort_array(F.collect_list(head)), lambda r: r["line"]).alias("head"),
+        )
+    )
+    in_file = Window.partitionBy("file_id").orderBy("split_start")
     upto = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
 
-    def sum_before(column: str):
-        return F.coalesce(F.sum(column).over(before), F.lit(0))
+    def sum_before(column: str) -> Column:
+        return F.sum(column).over(upto) - F.col(column)
 
     based = per_split.select(
         *_SPLIT,
@@ -72,32 +75,62 @@ def _split_index(placed: DataFrame) -> DataFrame:
     opens = F.col("opens_file") | (F.col("n_new") > 0)
     numbered = based.withColumn("run", F.sum(opens.cast("long")).over(upto))
     owner = F.struct("split_start", "n_new", "base_seq", "base_bytes", "base_lines", "opens_file")
-    as_head = F.struct(
-        (F.col("run") - opens.cast("long")).alias("run"),
-        F.lit(None).cast(numbered.select(owner).schema[0].dataType).alias("owner"),
-        F.struct("split_start", "head").alias("head"),
-    )
-    as_owner = F.struct(
-        F.col("run"),
-        owner.alias("owner"),
-        F.lit(None).cast(numbered.select(F.struct("split_start", "head")).schema[0].dataType).alias("head"),
+    head = F.struct("split_start", "head")
+
+    def role(run: Column, as_owner: Column, as_head: Column) -> Column:
+        return F.struct(run.alias("run"), as_owner.alias("owner"), as_head.alias("head"))
+
+    roles = F.array_compact(
+        F.array(
+            F.when(opens, role(F.col("run"), owner, F.when(F.lit(False), head))),
+            F.when(
+                ~F.col("opens_file"),
+                role(F.col("run") - opens.cast("long"), F.when(F.lit(False), owner), head),
+            ),
+        )
     )
-    roles = F.array_compact(F.array(F.when(~F.col("opens_file"), as_head), F.when(opens, as_owner)))
-    runs = numbered.select(*_FILE, F.inline(roles)).groupBy(*_FILE, "run")
-    tails = runs.agg(
-        F.get(F.collect_list("owner"), F.lit(0)).alias("owner"),
-        F.flatten(F.transform(F.sort_array(F.collect_list("head")), lambda h: h["head"])).alias("carry"),
+    tails = (
+        numbered.select("file_id", F.inline(roles))
+        .groupBy("file_id", "run")
+        .agg(
+            F.get(F.collect_list("owner"), F.lit(0)).alias("owner"),
+            F.flatten(F.transform(F.sort_array(F.collect_list("head")), lambda h: h["head"])).alias("carry"),
+        )
     )
-    return tails.select(*_FILE, "owner.*", "carry")
+    return tails.select("file_id", "owner.*", "carry").join(file_ids(files), "file_id")
 
 
-def assemble_entries(lines: DataFrame, *, keep_blank: bool = False, keep_orphan: bool = True) -> DataFrame:
+def assemble_entries(
+    lines: DataFrame,
+    files: DataFrame | None = None,
+    *,
+    keep_blank: bool = False,
+    keep_orphan: bool = True,
+) -> DataFrame:
     """Entry blocks with their number, line and first byte in the file.
 
+    ``files`` lists the service and path of each file, a file of several services several times;
+    without it the paths are read off the lines and the service is null.
     ``keep_blank`` keeps blank continuation lines; ``keep_orphan`` keeps the lines before a file's
     first entry as one entry numbered 0.
     """
-    placed = _placed(lines, keep_blank)
+    if files is None:
+        files = lines.select(F.lit(None).cast("string").alias("service"), "file_path").distinct()
+    shuffled = lines.select(file_id().alias("file_id"), "split_start", "row_id", "value").repartition(*_SPLIT)
+    rows = shuffled.withColumn("line", X.strip_cr(F.col("value")))
+    new, n_bytes = X.is_new_entry(F.col("line")), X.line_bytes(F.col("value"))
+    kept = F.lit(True) if keep_blank else new | ~X.is_blank(F.col("line"))
+
+    upto = Window.partitionBy(*_SPLIT).orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select(
+        *_SPLIT,
+        "row_id",
+        "line",
+        kept.alias("kept"),
+        F.sum(new.cast("long")).over(upto).alias("local_seq"),
+        (F.sum(n_bytes).over(upto) - n_bytes).alias("byte_pos"),
+        F.row_number().over(Window.partitionBy(*_SPLIT).orderBy("row_id")).alias("line_pos"),
+    )
     in_entry = Window.partitionBy(*_SPLIT, "local_seq").orderBy("row_id")
     whole = in_entry.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = placed.filter("kept").select(
@@ -108,7 +141,7 @@ def assemble_entries(lines: DataFrame, *, keep_blank: bool = False, keep_orphan:
         F.collect_list("line").over(whole).alias("own"),
         F.row_number().over(in_entry).alias("nth"),
     )
-    index = _split_index(placed).hint("shuffle_hash")
+    index = _split_index(rows, files, kept).hint("shuffle_hash")
     entries = (
         own.filter(F.col("nth") == 1)
         .join(index, list(_SPLIT))
@@ -117,7 +150,8 @@ def assemble_entries(lines: DataFrame, *, keep_blank: bool = False, keep_orphan:
     )
     block = F.when(F.col("local_seq") == F.col("n_new"), F.concat("own", "carry")).otherwise(F.col("own"))
     entries = entries.select(
-        *_FILE,
+        "service",
+        "file_path",
         (F.col("base_seq") + F.col("local_seq")).alias("entry_seq"),
         (F.col("base_lines") + F.col("line_pos")).alias("line_number"),
         (F.col("base_bytes") + F.col("byte_pos")).alias("file_offset"),

@@ -128,9 +128,28 @@ def search_entries(
     return SearchResult(entries.sparkSession, req, structural, view, page)
 
 
-def search(spark: SparkSession, catalog: Catalog, *, bounded: bool = True, **request) -> SearchResult:
-    """Search the active logs of the services."""
+# Rows that one task may merge for the exact cut of a cap without a bound on time.
+MERGE_ROWS = 10_000_000
+
+
+def _needs_bound(spark: SparkSession, cap: int) -> bool:
+    """Whether the cap's rows of all tasks are too many for one task to merge.
+
+    Assembled logs come in as many partitions as a shuffle has.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) * cap > MERGE_ROWS
+
+
+def search(
+    spark: SparkSession, catalog: Catalog, *, bounded: bool | None = None, **request
+) -> SearchResult:
+    """Search the active logs of the services.
+
+    ``bounded`` finds the cap's last time in a pass of its own. The answer is the same either way;
+    left open, it depends on the number of shuffle partitions.
+    """
     req = SearchRequest(**request)
+    bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
     chosen = resolve_services(catalog, req.services)
     streamed = tuple(s for s in chosen if s.log_file.endswith(".gz"))
     plain = tuple(s for s in chosen if s not in streamed)
@@ -151,9 +170,16 @@ def search_table(entries: DataFrame, *, bounded: bool = True, **request) -> Sear
 
 
 def search_file(
-    spark: SparkSession, catalog: Catalog, service: str, file_name: str, *, bounded: bool = True, **request
+    spark: SparkSession,
+    catalog: Catalog,
+    service: str,
+    file_name: str,
+    *,
+    bounded: bool | None = None,
+    **request,
 ) -> SearchResult:
     """Search one rotated log of one service; entries without a time are cut off first."""
-    req = SearchRequest(**request)
+    req = SearchRequest(**{**request, "services": ()})
+    bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
     entries = windowed(logs.read_rotated(spark, catalog, service, file_name), req)
-    return search_entries(entries, SearchRequest(**{**request, "services": ()}), keep_null_ts=False, bounded=bounded)
+    return search_entries(entries, req, keep_null_ts=False, bounded=bounded)

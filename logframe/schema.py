@@ -29,15 +29,13 @@ ENTRY_SCHEMA = T.StructType(
 
 ENTRY_COLUMNS = ENTRY_SCHEMA.fieldNames()
 
-# One physical line of a log file, as the scans return it.
+# One physical line of a log file, as the scans return it, without its line end.
 LINE_SCHEMA = T.StructType(
     [
-        T.StructField("service", T.StringType()),
         T.StructField("file_path", T.StringType()),
         T.StructField("split_start", T.LongType()),
         T.StructField("row_id", T.LongType()),
-        T.StructField("n_bytes", T.LongType()),
-        T.StructField("line", T.StringType()),
+        T.StructField("value", T.StringType()),
     ]
 )
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from logframe.functions import patterns as P
@@ -77,53 +76,85 @@ def find_service(catalog: Catalog, name: str) -> Service | None:
     return next((s for s in catalog if s.name == name), None)
 
 
-def load_or_none(reader, path: str) -> DataFrame | None:
-    """``reader.load(path)``, or None where nothing exists at ``path``."""
+def load_existing(reader: DataFrameReader, paths: Iterable[str]) -> DataFrame | None:
+    """``reader.load`` of the paths that exist, or None where none does."""
+    paths = list(dict.fromkeys(paths))
     try:
-        return reader.load(path)
+        return reader.load(paths) if paths else None
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+    # Something is absent: look at each path.
+    found = [p for p in paths if len(paths) > 1 and load_existing(reader, [p]) is not None]
+    return reader.load(found) if found else None
 
 
-def _listing(spark: SparkSession, path: str) -> DataFrame | None:
-    """Path, length and modification time of the files under ``path``; their content is not read."""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _location(path: str) -> str:
+    """A path to compare by: without a ``file:`` scheme and without a closing slash."""
+    path = re.sub(r"^file:(//[^/]*)?", "", path)
+    return path.rstrip("/")
+
+
+def list_log_files(spark: SparkSession, services: Catalog) -> DataFrame:
+    """Service, path, length and modification time of every file of the services' logs.
+
+    One listing for all services; no content is read. A file belongs to the services whose log is the
+    file or a directory above it.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = load_or_none(reader, path)
-    return None if found is None else found.select("path", "length", "modificationTime")
+    files = load_existing(reader, (s.log_file for s in services))
+    if files is None:
+        schema = "service string, file_path string, length long, modificationTime timestamp"
+        return spark.createDataFrame([], schema)
+    named = files.select(F.input_file_name().alias("file_path"), "length", "modificationTime")
+    # A plus sign stands for itself in a path.
+    full = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
+    bare = F.regexp_replace(full, _SCHEME, "")
+    steps = F.split(bare, "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")
+    )
+    root = F.regexp_extract(full, _SCHEME, 0)
+    is_local = F.startswith(root, F.lit("file:"))
+    keys = F.when(is_local, above).otherwise(
+        F.array_union(above, F.transform(above, lambda path: F.concat(root, path)))
+    )
+    roots = spark.createDataFrame([(s.name, _location(s.log_file)) for s in services], "service string, location string")
+    return (
+        named.withColumn("location", F.explode(keys))
+        .join(roots, "location")
+        .select("service", "file_path", "length", "modificationTime")
+    )
 
 
 def service_status(spark: SparkSession, catalog: Catalog) -> DataFrame:
     """One row per service: colour, log file, whether it exists, whole KiB and modification time."""
-    services = catalog_frame(spark, catalog)
-    found = []
-    for service in catalog:
-        files = _listing(spark, service.log_file)
-        if files is not None:
-            found.append(files.select(F.lit(service.name).alias("name"), "length", "modificationTime"))
-    if not found:
-        nothing = "name string, length long, modificationTime timestamp"
-        found = [spark.createDataFrame([], nothing)]
     sizes = (
-        reduce(DataFrame.unionByName, found)
-        .groupBy("name")
+        list_log_files(spark, catalog)
+        .groupBy(F.col("service").alias("name"))
         .agg(F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("modified"))
     )
     modified = F.date_format("modified", "EEE MMM dd HH:mm:ss zzz yyyy")
-    return services.join(sizes, "name", "left").select(
-        "name",
-        F.coalesce("color", F.lit(P.DEFAULT_COLOR)).alias("color"),
-        "log_file",
-        F.col("n_bytes").isNotNull().alias("exists"),
-        F.floor(F.coalesce("n_bytes", F.lit(0)) / 1024).cast("long").alias("size_kb"),
-        F.coalesce(modified, F.lit("N/A")).alias("last_modified"),
+    return (
+        catalog_frame(spark, catalog)
+        .join(sizes, "name", "left")
+        .select(
+            "name",
+            F.coalesce("color", F.lit(P.DEFAULT_COLOR)).alias("color"),
+            "log_file",
+            F.col("n_bytes").isNotNull().alias("exists"),
+            F.floor(F.coalesce("n_bytes", F.lit(0)) / 1024).cast("long").alias("size_kb"),
+            F.coalesce(modified, F.lit("N/A")).alias("last_modified"),
+        )
     )
 
 
 def _log_name(path: Column, directory: str) -> Column:
     """The log a file belongs to: itself, or the directory whose part file it is; else null."""
-    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory).rstrip("/") + "/"
+    root = re.sub(_SCHEME, "", directory).rstrip("/") + "/"
     inside = F.split(F.substring_index(path, root, -1), "/")
     is_file = F.size(inside) == 1
     is_part = (F.size(inside) == 2) & F.startswith(F.element_at(inside, -1), F.lit("part-"))
@@ -133,7 +164,8 @@ def _log_name(path: Column, directory: str) -> Column:
 def list_rotated(spark: SparkSession, catalog: Catalog, service: str) -> DataFrame:
     """Name, KiB (rounded up) and modification time of a service's rotated logs, newest first."""
     found = find_service(catalog, service)
-    files = None if found is None or not found.directory else _listing(spark, found.directory)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = load_existing(reader, [found.directory] if found and found.directory else [])
     if files is None:
         return spark.createDataFrame([], "name string, size_kb long, last_modified string")
     name, base = F.col("name"), found.base_name

@@ -3,53 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from logframe.functions import text as X
 from logframe.operators.assemble import assemble_entries
 from logframe.operators.parse import parse_entries
 from logframe.schema import LINE_SCHEMA
-from logframe.sources.catalog import SAFE_NAME, Catalog, find_service, load_or_none, resolve_services
+from logframe.sources.catalog import (
+    SAFE_NAME,
+    Catalog,
+    Service,
+    find_service,
+    list_log_files,
+    load_existing,
+    resolve_services,
+)
 
 
-def read_log_lines(
-    spark: SparkSession, paths: str | Iterable[str], service: Column | str | None = None
-) -> DataFrame:
-    """The lines of the logs at ``paths`` with their place in the file.
+def _text_reader(spark: SparkSession) -> DataFrameReader:
+    reader = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true")
+    return reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+
+
+def read_log_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """The lines of the logs at ``paths``, carriage returns included, with their place in the file.
 
     A path is a file or a directory of part files; ``.gz`` is read as gzip. An absent path and an
-    empty file give no rows. ``n_bytes`` counts the line with its line end, carriage return
-    included; ``line`` is without both.
+    empty file give no rows. All logs are one scan.
     """
-    label = F.lit(service) if service is None or isinstance(service, str) else service
-    scans = []
-    for path in [paths] if isinstance(paths, str) else paths:
-        reader = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true")
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        found = load_or_none(reader, path)
-        if found is not None:
-            # The row id is taken in the scan itself, where rows still come in file order.
-            scans.append(
-                found.select(
-                    label.cast("string").alias("service"),
-                    F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("split_start"),
-                    F.monotonically_increasing_id().alias("row_id"),
-                    (F.octet_length("value") + 1).cast("long").alias("n_bytes"),
-                    X.strip_cr(F.col("value")).alias("line"),
-                )
-            )
-    return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], LINE_SCHEMA)
+    found = load_existing(_text_reader(spark), [paths] if isinstance(paths, str) else paths)
+    if found is None:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    # File, split and row id are taken in the scan itself, where rows still come in file order.
+    return found.select(
+        F.input_file_name().alias("file_path"),
+        F.input_file_block_start().alias("split_start"),
+        F.monotonically_increasing_id().alias("row_id"),
+        "value",
+    )
 
 
 def read_service_lines(spark: SparkSession, catalog: Catalog, names: Iterable[str] | None = None) -> DataFrame:
     """The lines of the active logs of the named services, all services when none are named."""
-    chosen = resolve_services(catalog, names)
-    scans = [read_log_lines(spark, s.log_file, s.name) for s in chosen]
-    return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], LINE_SCHEMA)
+    return read_log_lines(spark, [s.log_file for s in resolve_services(catalog, names)])
 
 
 def read_services(
@@ -61,8 +58,14 @@ def read_services(
     keep_orphan: bool = True,
 ) -> DataFrame:
     """The parsed entries of the active logs of the named services."""
-    lines = read_service_lines(spark, catalog, names)
-    return parse_entries(assemble_entries(lines, keep_blank=keep_blank, keep_orphan=keep_orphan))
+    services = resolve_services(catalog, names)
+    blocks = assemble_entries(
+        read_service_lines(spark, services),
+        list_log_files(spark, services),
+        keep_blank=keep_blank,
+        keep_orphan=keep_orphan,
+    )
+    return parse_entries(blocks)
 
 
 def rotated_path(catalog: Catalog, service: str, file_name: str) -> str:
@@ -92,13 +95,20 @@ def read_rotated(
 ) -> DataFrame:
     """The parsed entries of exactly one rotated log of one service."""
     path = rotated_path(catalog, service, file_name)
-    if load_or_none(spark.read.format("text").option("recursiveFileLookup", "true"), path) is None:
+    if load_existing(_text_reader(spark), [path]) is None:
         raise ValueError(f"File not found: {file_name}")
-    lines = read_log_lines(spark, path, service)
-    return parse_entries(assemble_entries(lines, keep_blank=keep_blank, keep_orphan=keep_orphan))
+    one = (Service(service, path),)
+    return read_services(spark, one, keep_blank=keep_blank, keep_orphan=keep_orphan)
 
 
-def resume(df: DataFrame, offsets: Mapping[str, int], order: str = "desc", *, default: int | None = None, key: str = "service") -> DataFrame:
+def resume(
+    df: DataFrame,
+    offsets: Mapping[str, int],
+    order: str = "desc",
+    *,
+    default: int | None = None,
+    key: str = "service",
+) -> DataFrame:
     """The entries past a byte cursor per ``key``: before it newest first, after it oldest first.
 
     A cursor of the key beats ``default``; without either, all entries stay. Use ``key="file_path"``

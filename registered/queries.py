@@ -93,19 +93,20 @@ def micros(ts: Column) -> Column:
 @query
 def text_log_scan(spark, sf_dir):
     lines = L.read_service_lines(spark, live_catalog(spark, sf_dir))
-    return lines.groupBy("service", file_no()).agg(
+    service = F.regexp_extract("file_path", r"service=(\w+)/", 1).alias("service")
+    return lines.groupBy(service, file_no()).agg(
         F.count("*").alias("n_lines"),
-        F.sum("n_bytes").alias("n_bytes"),
-        F.count_if(T.is_new_entry(F.col("line"))).alias("n_entries"),
+        F.sum(T.line_bytes(F.col("value"))).alias("n_bytes"),
+        F.count_if(T.is_new_entry(F.col("value"))).alias("n_entries"),
     )
 
 
 @query
 def gzip_log_scan(spark, sf_dir):
     service = rotated_catalog(spark, sf_dir)[0]
-    logs = [L.read_log_lines(spark, f"{service.directory}/{name}", name) for name, _ in X.ROTATED]
-    lines = reduce(DataFrame.unionByName, logs)
-    return lines.groupBy(F.col("service").alias("log")).agg(F.count("*").alias("n_lines"))
+    lines = L.read_log_lines(spark, [f"{service.directory}/{name}" for name, _ in X.ROTATED])
+    log = F.element_at(F.split("file_path", "/"), -2).alias("log")
+    return lines.groupBy(log).agg(F.count("*").alias("n_lines"))
 
 
 @query
@@ -179,14 +180,17 @@ def new_entry_test(spark, sf_dir):
 
 @query
 def assemble_blocks(spark, sf_dir):
-    blocks = L.assemble_entries(L.read_service_lines(spark, live_catalog(spark, sf_dir)))
+    catalog = live_catalog(spark, sf_dir)
+    lines, files = L.read_service_lines(spark, catalog), L.list_log_files(spark, catalog)
+    blocks = L.assemble_entries(lines, files)
     return blocks.select("service", file_no(), "entry_seq", "line_number", "file_offset", "raw_line")
 
 
 @query
 def assemble_keep_blank(spark, sf_dir):
-    lines = L.read_service_lines(spark, live_catalog(spark, sf_dir))
-    blocks = L.assemble_entries(lines, keep_blank=True, keep_orphan=False)
+    catalog = live_catalog(spark, sf_dir)
+    lines, files = L.read_service_lines(spark, catalog), L.list_log_files(spark, catalog)
+    blocks = L.assemble_entries(lines, files, keep_blank=True, keep_orphan=False)
     return blocks.select("service", file_no(), "entry_seq", "line_number", "file_offset", "raw_line")
 
 
