@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logframe.functions import patterns as P
+
 PRESETS = {
     "5m": timedelta(minutes=5),
     "15m": timedelta(minutes=15),
@@ -59,6 +61,49 @@ def contains_ignore_case(column: str, value: str) -> Column:
     return F.coalesce(F.contains(F.lower(column), F.lower(F.lit(value))), F.lit(False))
 
 
+def block_contains(value: str, *, ignore_case: bool = False, level: bool = False) -> Column:
+    """True for every raw block of which a parsed field can contain ``value``.
+
+    A field is a piece of its block, unless colour codes were cut out of the middle of it. Blocks with
+    such codes pass, as does any block for a value whose lower case depends on its neighbours and for
+    the level of unparsed lines, which is not in the text.
+    """
+    raw = F.col("raw_line")
+    if not value.isascii() or (level and value.strip().lower() == P.UNKNOWN_LEVEL.lower()):
+        return F.lit(True)
+    found = (
+        F.contains(F.lower(raw), F.lower(F.lit(value))) if ignore_case else F.contains(raw, F.lit(value))
+    )
+    return found | F.contains(raw, F.lit("\x1b"))
+
+
+def filters_on_block(
+    *,
+    level: str | None = None,
+    trace_ids: Iterable[str] | None = None,
+    trace_id: str | None = None,
+    span_ids: Iterable[str] | None = None,
+    span_id: str | None = None,
+    user_id: str | None = None,
+    site_id: str | None = None,
+    tenant_id: str | None = None,
+    logger: str | None = None,
+    message: str | None = None,
+    **_unused,
+) -> Column:
+    """A predicate on the raw block that every entry passing ``filter_entries`` passes."""
+    tests = [
+        reduce(or_, (block_contains(v) for v in wanted))
+        for wanted in (merge_values(trace_ids, trace_id), merge_values(span_ids, span_id))
+        if wanted
+    ]
+    tests += [block_contains(v) for v in (user_id, site_id, tenant_id) if is_set(v)]
+    tests += [block_contains(v, ignore_case=True) for v in (logger, message) if is_set(v)]
+    if is_set(level):
+        tests.append(block_contains(level, ignore_case=True, level=True))
+    return reduce(and_, tests) if tests else F.lit(True)
+
+
 def time_range(df: DataFrame, from_ts: Moment | None = None, to_ts: Moment | None = None) -> DataFrame:
     """Keep entries in [from, to] and those without a time.
 

@@ -7,12 +7,15 @@ two-valued (a null field is false), so NOT keeps entries whose field is null.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from operator import invert
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logframe.functions import patterns as P
+from logframe.operators.filters import block_contains
 
 FIELDS = {
     "level": "level",
@@ -60,10 +63,15 @@ def field(name: str, value: str) -> Column:
 
 
 def atom(text: str) -> Column:
+    name, value = _field_and_value(text)
+    return kw(value) if name is None else field(name, value)
+
+
+def _field_and_value(text: str) -> tuple[str | None, str]:
     name, colon, value = text.partition(":")
     if colon and name:
-        return field(name.strip(P.TRIM_CHARS), value.strip(P.TRIM_CHARS))
-    return kw(text)
+        return name.strip(P.TRIM_CHARS), value.strip(P.TRIM_CHARS)
+    return None, text
 
 
 def _combine(op: str, tests: list[Column]) -> Column:
@@ -77,14 +85,15 @@ def _combine(op: str, tests: list[Column]) -> Column:
 class _Level:
     """One level of parentheses: the tests so far, read left to right."""
 
-    def __init__(self) -> None:
+    def __init__(self, negate: Callable[[Column], Column]) -> None:
+        self.negate = negate
         self.tests: list[Column] = []
         self.op = "AND"
         self.pending = "AND"
         self.negated = False
 
     def add(self, test: Column) -> None:
-        test = ~test if self.negated else test
+        test = self.negate(test) if self.negated else test
         if self.pending != self.op and len(self.tests) > 1:
             self.tests = [_combine(self.op, self.tests)]
         self.op, self.negated = self.pending, False
@@ -94,14 +103,18 @@ class _Level:
         return _combine(self.op, self.tests)
 
 
-def query_column(text: str | None) -> Column:
-    """The predicate of a search text.
+def query_column(
+    text: str | None,
+    test: Callable[[str], Column] = atom,
+    negate: Callable[[Column], Column] = invert,
+) -> Column:
+    """The predicate of a search text, ``test`` giving the predicate of each term.
 
     AND and OR bind equally and apply from left to right; NOT binds to the next term. A term that
     follows another without an operator ends the search text, as does a ``)`` too many. An operator
     without an operand counts as true.
     """
-    levels = [_Level()]
+    levels = [_Level(negate)]
     want_term = True
     for token in _TOKEN.finditer(text or ""):
         word, mark = token["word"], token["mark"]
@@ -111,11 +124,11 @@ def query_column(text: str | None) -> Column:
                 levels[-1].negated = not levels[-1].negated
                 continue
             if mark == "(":
-                levels.append(_Level())
+                levels.append(_Level(negate))
                 continue
             want_term = False
             if op is None and mark is None:
-                levels[-1].add(atom(word if word is not None else token["phrase"]))
+                levels[-1].add(test(word if word is not None else token["phrase"]))
                 continue
             levels[-1].add(F.lit(True))
         if op in ("AND", "OR"):
@@ -134,6 +147,25 @@ def query_column(text: str | None) -> Column:
     return levels[0].value()
 
 
+def _atom_in_block(text: str) -> Column:
+    """A test of the raw block that holds wherever the term's own test holds."""
+    name, value = _field_and_value(text)
+    column = None if name is None else FIELDS.get(name.lower())
+    if column == "service" or (name is not None and not value.strip(P.SPACE_CHARS)):
+        return F.lit(True)
+    return block_contains(value, ignore_case=True, level=column == "level")
+
+
+def query_on_block(text: str | None) -> Column:
+    """A predicate on the raw block that every match of the search text passes.
+
+    It spares the parser the blocks that cannot match. Nothing follows from a negated term.
+    """
+    if text is None or not text.strip(P.SPACE_CHARS):
+        return F.lit(True)
+    return query_column(text, _atom_in_block, lambda _: F.lit(True))
+
+
 def filter_query(df: DataFrame, text: str | None) -> DataFrame:
     """Entries that match the search text; a blank text keeps all."""
     if text is None or not text.strip(P.SPACE_CHARS):

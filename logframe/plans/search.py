@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logframe.functions import patterns as P
 from logframe.operators import order as O
-from logframe.operators.filters import Moment, filter_entries, is_set, merge_values
-from logframe.operators.query import filter_query
+from logframe.operators.filters import Moment, filter_entries, filters_on_block, is_set, merge_values
+from logframe.operators.query import filter_query, query_on_block
 from logframe.operators.summary import search_summary
 from logframe.sources import logs
 from logframe.sources.catalog import Catalog, resolve_services
@@ -117,11 +117,25 @@ def windowed(entries: DataFrame, req: SearchRequest, streamed: bool = False) ->
 
 
 def search_entries(
-    entries: DataFrame, req: SearchRequest, *, keep_null_ts: bool = True, bounded: bool = True
+    entries: DataFrame,
+    req: SearchRequest,
+    *,
+    keep_null_ts: bool = True,
+    bounded: bool = True,
+    parsing: bool = False,
 ) -> SearchResult:
-    """Filter, cap, order and page entries that already passed the scan window."""
-    structural = filter_entries(entries, services=req.services, **req.structural())
-    wanted = filter_query(structural, req.query) if req.deep else structural
+    """Filter, cap, order and page entries that already passed the scan window.
+
+    With ``parsing`` the entries come straight from the parser: what the filters imply for the raw
+    block is tested as well, a test that Catalyst moves below the parser.
+    """
+    filters = req.structural()
+    first = entries.filter(filters_on_block(**filters)) if parsing else entries
+    structural = filter_entries(first, services=req.services, **filters)
+    wanted = structural
+    if req.deep:
+        wanted = structural.filter(query_on_block(req.query)) if parsing else structural
+        wanted = filter_query(wanted, req.query)
     view = O.cap_entries(wanted, req.sort_order, req.cap, keep_null_ts=keep_null_ts, bounded=bounded)
     view = view if req.deep else filter_query(view, req.query)
     page = O.page(view, req.limit, req.start, req.sort_order)
@@ -158,7 +172,8 @@ def search(
     parts = [
         windowed(logs.read_services(spark, group), req, gz) for group, gz in groups if group or not chosen
     ]
-    return search_entries(reduce(DataFrame.unionByName, parts), req, bounded=bounded)
+    entries = reduce(DataFrame.unionByName, parts)
+    return search_entries(entries, req, bounded=bounded, parsing=req.depth is None)
 
 
 def search_table(entries: DataFrame, *, bounded: bool = True, **request) -> SearchResult:
@@ -182,4 +197,6 @@ def search_file(
     req = SearchRequest(**{**request, "services": ()})
     bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
     entries = windowed(logs.read_rotated(spark, catalog, service, file_name), req)
-    return search_entries(entries, req, keep_null_ts=False, bounded=bounded)
+    return search_entries(
+        entries, req, keep_null_ts=False, bounded=bounded, parsing=req.depth is None
+    )

@@ -122,7 +122,8 @@ def list_log_files(spark: SparkSession, services: Catalog) -> DataFrame:
     keys = F.when(is_local, above).otherwise(
         F.array_union(above, F.transform(above, lambda path: F.concat(root, path)))
     )
-    roots = spark.createDataFrame([(s.name, _location(s.log_file)) for s in services], "service string, location string")
+    pairs = [F.struct(F.lit(s.name).alias("service"), F.lit(_location(s.log_file)).alias("location")) for s in services]
+    roots = spark.range(1).select(F.inline(F.array(*pairs)))
     return (
         named.withColumn("location", F.explode(keys))
         .join(roots, "location")
