@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logframe.functions import patterns as P
 from logframe.functions import text as X
-from logframe.operators.order import order_entries
+from logframe.operators.order import TIE, order_entries, sort_keys
 
 BOM = "\ufeff"
 
@@ -24,10 +24,15 @@ def csv_field(value: Column) -> Column:
     return F.when(value.rlike('[,"\n\r]'), quoted).otherwise(F.coalesce(guarded, F.lit("")))
 
 
+def csv_column() -> Column:
+    """An entry as one CSV line."""
+    values = [X.ts_text(F.col(c)) if c == "ts" else F.col(c) for _, c in P.CSV_COLUMNS]
+    return F.concat_ws(",", *[csv_field(v) for v in values])
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """One CSV line per entry, in the order of ``df``, without the header."""
-    values = [X.ts_text(F.col(c)) if c == "ts" else F.col(c) for _, c in P.CSV_COLUMNS]
-    return df.select(F.concat_ws(",", *[csv_field(v) for v in values]).alias("value"))
+    return df.select(csv_column().alias("value"))
 
 
 def csv_header() -> str:
@@ -69,17 +74,24 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(json_struct()).alias("value"))
 
 
+def _placed(df: DataFrame, order: str, single_file: bool, *first: Column) -> DataFrame:
+    """The rows in view order, over many files or in one."""
+    keys = (*first, *sort_keys(order))
+    return df.coalesce(1).sortWithinPartitions(*keys) if single_file else df.orderBy(*keys)
+
+
 def write_csv(df: DataFrame, path: str, order: str = "desc", *, single_file: bool = False) -> None:
     """Write the view as CSV: a byte-order mark and the header first, then the rows in order."""
-    head = df.sparkSession.createDataFrame([(BOM + csv_header(),)], "value string").coalesce(1)
-    lines = head.unionAll(csv_lines(order_entries(df, order)))
-    (lines.coalesce(1) if single_file else lines).write.text(path)
+    rows = df.select("ts", *TIE, csv_column().alias("value"), F.lit(1).alias("part"))
+    head = df.sparkSession.range(1).select(F.lit(BOM + csv_header()).alias("value"), F.lit(0).alias("part"))
+    lines = rows.unionByName(head, allowMissingColumns=True)
+    _placed(lines, order, single_file, F.col("part")).select("value").write.text(path)
 
 
 def write_txt(df: DataFrame, path: str, order: str = "desc", *, single_file: bool = False) -> None:
     """Write the view as text: the raw blocks, each followed by one blank line."""
-    blocks = entry_text(order_entries(df, order))
-    (blocks.coalesce(1) if single_file else blocks).write.option("lineSep", "\n\n").text(path)
+    blocks = df.select("ts", *TIE, text_column().alias("value"))
+    _placed(blocks, order, single_file).select("value").write.option("lineSep", "\n\n").text(path)
 
 
 def write_json(df: DataFrame, path: str, order: str = "desc") -> None:
