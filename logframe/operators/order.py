@@ -116,23 +116,35 @@ def scan_depth(requested: int | None, default: int = P.DEFAULT_DEPTH, ceiling: i
 
 
 def _log_window(df: DataFrame, n: int, oldest: bool) -> DataFrame:
-    """The first or last n entries per service in log order, which is (file path, offset)."""
+    """The first or last n entries per service in log order, which is (file path, offset).
+
+    Counts per 64 MiB of log tell in which of these chunks the n-th entry of a service lies; only
+    the entries of that chunk are numbered. No task holds more of a service than one chunk.
+    """
     place = F.struct(F.col("file_path"), F.floor(F.col("file_offset") / _CHUNK_BYTES).alias("chunk"))
     counts = df.groupBy("service", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
     toward = F.col("place").asc() if oldest else F.col("place").desc()
-    running = F.sum("n").over(Window.partitionBy("service").orderBy(toward))
-    needed = counts.withColumn("before", running - F.col("n")).filter(F.col("before") < n)
-    # One row per service: the place where the n-th entry lies.
-    edge = F.max("place") if oldest else F.min("place")
-    bound = needed.groupBy(F.col("service").alias("bound_service")).agg(edge.alias("edge"))
-    inside = place <= F.col("edge") if oldest else place >= F.col("edge")
-    on = F.col("service").eqNullSafe(F.col("bound_service")) & inside
-    near = df.join(F.broadcast(bound), on, "left_semi")
-    keys = ("file_path", "file_offset")
-    in_order = Window.partitionBy("service").orderBy(
-        *(F.col(c).asc() if oldest else F.col(c).desc() for c in keys)
+    upto = F.sum("n").over(Window.partitionBy("service").orderBy(toward))
+    needed = counts.withColumn("before", upto - F.col("n")).filter(F.col("before") < n)
+    # One row per service, as many as the catalog has: the chunk of the n-th entry and how many of
+    # its entries are still inside.
+    outermost = F.max if oldest else F.min
+    edge = outermost(F.struct("place", (F.lit(n) - F.col("before")).alias("room")))
+    bounds = needed.groupBy(F.col("service").alias("_service")).agg(edge.alias("_edge"))
+    at, edge = F.col("_place"), F.col("_edge.place")
+    near = df.withColumn("_place", place).join(
+        F.broadcast(bounds),
+        F.col("service").eqNullSafe(F.col("_service")) & ((at <= edge) if oldest else (at >= edge)),
     )
-    return near.withColumn("_rank", F.row_number().over(in_order)).filter(F.col("_rank") <= n).drop("_rank")
+    offset = F.col("file_offset")
+    in_chunk = Window.partitionBy("service", "_place").orderBy(offset.asc() if oldest else offset.desc())
+    ranked = near.withColumn("_rank", F.row_number().over(in_chunk))
+    return ranked.filter((at != edge) | (F.col("_rank") <= F.col("_edge.room"))).select(*df.columns)
+
+
+def bounded_by_time(order: str, from_ts: Moment | None, to_ts: Moment | None) -> bool:
+    """Whether the window of ``scan_window`` depends on the time of an entry, not only on its place."""
+    return (from_ts if is_asc(order) else to_ts) is not None
 
 
 def scan_window(
@@ -153,9 +165,8 @@ def scan_window(
     """
     if streamed:
         return _log_window(df, n, oldest=True)
-    timed = from_ts is not None or to_ts is not None
     if not is_asc(order):
         return _log_window(time_range(df, to_ts=to_ts), n, oldest=False)
-    if timed:
+    if from_ts is not None or to_ts is not None:
         return _log_window(time_range(df, from_ts=from_ts), n, oldest=True)
     return _log_window(df, n, oldest=not filtered)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logframe.functions import patterns as P
 from logframe.operators import order as O
 from logframe.operators.filters import Moment, filter_entries, filters_on_block, is_set, merge_values
+from logframe.operators.parse import parse_entries
 from logframe.operators.query import filter_query, query_on_block
 from logframe.operators.summary import search_summary
 from logframe.sources import logs
@@ -116,6 +117,17 @@ def windowed(entries: DataFrame, req: SearchRequest, streamed: bool = False) ->
     )
 
 
+def _scanned(spark: SparkSession, services: Catalog, req: SearchRequest, streamed: bool = False) -> DataFrame:
+    """The parsed entries a search of raw logs looks at.
+
+    A window that depends on nothing but the place in the log is cut before parsing.
+    """
+    blocks = logs.read_blocks(spark, services)
+    if streamed or not O.bounded_by_time(req.sort_order, req.from_ts, req.to_ts):
+        return parse_entries(windowed(blocks, req, streamed))
+    return windowed(parse_entries(blocks), req)
+
+
 def search_entries(
     entries: DataFrame,
     req: SearchRequest,
@@ -170,7 +182,7 @@ def search(
     # With a depth, gzip logs are read from their start and plain ones from the wanted end.
     groups = [(chosen, False)] if req.depth is None else [(plain, False), (streamed, True)]
     parts = [
-        windowed(logs.read_services(spark, group), req, gz) for group, gz in groups if group or not chosen
+        _scanned(spark, group, req, gz) for group, gz in groups if group or not chosen
     ]
     entries = reduce(DataFrame.unionByName, parts)
     return search_entries(entries, req, bounded=bounded, parsing=req.depth is None)
@@ -196,7 +208,7 @@ def search_file(
     """Search one rotated log of one service; entries without a time are cut off first."""
     req = SearchRequest(**{**request, "services": ()})
     bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
-    entries = windowed(logs.read_rotated(spark, catalog, service, file_name), req)
+    entries = _scanned(spark, logs.rotated_service(spark, catalog, service, file_name), req)
     return search_entries(
         entries, req, keep_null_ts=False, bounded=bounded, parsing=req.depth is None
     )

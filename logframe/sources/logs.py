@@ -49,7 +49,7 @@ def read_service_lines(spark: SparkSession, catalog: Catalog, names: Iterable[st
     return read_log_lines(spark, [s.log_file for s in resolve_services(catalog, names)])
 
 
-def read_services(
+def read_blocks(
     spark: SparkSession,
     catalog: Catalog,
     names: Iterable[str] | None = None,
@@ -57,14 +57,26 @@ def read_services(
     keep_blank: bool = False,
     keep_orphan: bool = True,
 ) -> DataFrame:
-    """The parsed entries of the active logs of the named services."""
+    """The assembled, unparsed blocks of the active logs of the named services."""
     services = resolve_services(catalog, names)
-    blocks = assemble_entries(
+    return assemble_entries(
         read_service_lines(spark, services),
         list_log_files(spark, services),
         keep_blank=keep_blank,
         keep_orphan=keep_orphan,
     )
+
+
+def read_services(
+    spark: SparkSession,
+    catalog: Catalog,
+    names: Iterable[str] | None = None,
+    *,
+    keep_blank: bool = False,
+    keep_orphan: bool = True,
+) -> DataFrame:
+    """The parsed entries of the active logs of the named services."""
+    blocks = read_blocks(spark, catalog, names, keep_blank=keep_blank, keep_orphan=keep_orphan)
     return parse_entries(blocks)
 
 
@@ -84,6 +96,16 @@ def rotated_path(catalog: Catalog, service: str, file_name: str) -> str:
     return f"{found.directory}/{file_name}"
 
 
+def rotated_service(
+    spark: SparkSession, catalog: Catalog, service: str, file_name: str
+) -> Catalog:
+    """One rotated log as a catalog of its own; ValueError where there is no such log."""
+    path = rotated_path(catalog, service, file_name)
+    if load_existing(_text_reader(spark), [path]) is None:
+        raise ValueError(f"File not found: {file_name}")
+    return (Service(service, path),)
+
+
 def read_rotated(
     spark: SparkSession,
     catalog: Catalog,
@@ -94,10 +116,7 @@ def read_rotated(
     keep_orphan: bool = True,
 ) -> DataFrame:
     """The parsed entries of exactly one rotated log of one service."""
-    path = rotated_path(catalog, service, file_name)
-    if load_existing(_text_reader(spark), [path]) is None:
-        raise ValueError(f"File not found: {file_name}")
-    one = (Service(service, path),)
+    one = rotated_service(spark, catalog, service, file_name)
     return read_services(spark, one, keep_blank=keep_blank, keep_orphan=keep_orphan)
 
 
