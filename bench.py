@@ -115,6 +115,8 @@ def main() -> None:
         timed(f"raw_{name}", lambda: len(L.search(spark, catalog, **request).page.collect()))
     timed("raw_t01_depth_100k", lambda: len(L.search(spark, catalog, **DEPTH).page.collect()))
     timed("ingest", lambda: L.write_entries(L.read_services(spark, catalog), f"{root}/entries"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
     table = L.read_entries(spark, f"{root}/entries")
     for name, request in TABLE_SHAPES.items():
         timed(f"table_{name}", lambda: len(L.search_table(table, **request).page.collect()))

@@ -69,6 +69,10 @@ def cap_entries(
     if bounded:
         edge, total = _time_bound(df, order, k)
         inside = ts <= edge if is_asc(order) else ts >= edge
+        if "log_date" in df.columns:
+            # The day of the bound skips whole partitions but that of entries without a time.
+            log_date, day = F.col("log_date"), F.to_date(edge)
+            df = df.filter(log_date.isNull() | (log_date <= day if is_asc(order) else log_date >= day))
         untimed = ts.isNull() if keep_null_ts else ts.isNull() & (total < k)
         df = df.filter(inside | untimed)
     if not keep_null_ts:

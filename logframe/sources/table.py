@@ -16,15 +16,16 @@ PARTITIONS = ("service", "log_date")
 TABLE_SCHEMA = T.StructType(ENTRY_SCHEMA.fields + [T.StructField("log_date", T.DateType())])
 
 
-def write_entries(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write entries below ``path``.
+def write_entries(df: DataFrame, path: str, mode: str = "append", *, rebalance: bool = True) -> None:
+    """Write entries below ``path``, sorted by time within each file.
 
-    No shuffle of its own: a task of the assembly holds whole input splits, which are short stretches
-    of time, so a local sort already gives few files per task and narrow time ranges per row group. A
-    hot service or day stays spread over all tasks.
+    Adaptive execution brings a service's day together, splits a hot one over as many tasks as its
+    size asks for and joins small ones, so files are neither tiny nor huge. Without ``rebalance`` the
+    rows stay in the tasks that assembled them: one shuffle less, more and smaller files.
     """
     dated = df.withColumn("log_date", F.to_date("ts"))
-    dated.sortWithinPartitions(*PARTITIONS, "ts").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    placed = dated.hint("rebalance", *PARTITIONS) if rebalance else dated
+    placed.sortWithinPartitions(*PARTITIONS, "ts").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
