@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logframe.llm.best_fit import best_fit_packing
 from logframe.llm.common import table
+from logframe.llm.decontaminate import contaminated
+from logframe.llm.language_id import language_id
+from logframe.llm.secret_scan import secret_scan
 from logframe.llm.token_blocks import token_blocks
 from logframe.llm.token_counts import token_counts
+from logframe.llm.warc_archive import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +35,27 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return archive_pages(table(spark, sf_dir, "pages")).select(*columns)
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
