@@ -10,6 +10,8 @@ from logframe.llm.best_fit import best_fit_packing
 from logframe.llm.common import table
 from logframe.llm.decontaminate import contaminated
 from logframe.llm.language_id import language_id
+from logframe.llm.near_dedup import near_duplicates
+from logframe.llm.perplexity import quality_rules
 from logframe.llm.secret_scan import secret_scan
 from logframe.llm.token_blocks import token_blocks
 from logframe.llm.token_counts import token_counts
@@ -40,6 +42,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 @query
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -56,6 +63,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

@@ -61,7 +61,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
     """About the most frequent pre-tokens of all documents, at most FREQUENT of them; one row reaches the driver."""
     summaries = written(docs.select(F.col(text).alias("text")).mapInArrow(_summarise, _SUMMARY_SCHEMA), "piece-summaries")
     parts = max(1, math.isqrt(summaries.count()))
-    merged = summaries.repartition(parts).mapInArrow(_merge, _SUMMARY_SCHEMA).coalesce(1).mapInArrow(_merge, _SUMMARY_SCHEMA)
+    merged = summaries.repartition(parts).mapInArrow(_merge, _SUMMARY_SCHEMA).repartition(1).mapInArrow(_merge, _SUMMARY_SCHEMA)
     rows = merged.collect()
     return rows[0]["pieces"] if rows else []
 
