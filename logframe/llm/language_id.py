@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 PROFILE = 400
 #: Profiles are broadcast; with more languages than this, training raises an error. 400 n-grams each: under 32 MB.
 MAX_LANGUAGES = 1_000
+#: The prediction for a text without letters.
+UNKNOWN = "und"
 #: Characters that are cut into n-grams at once.
 CHUNK = 1_000_000
 
@@ -144,7 +146,7 @@ class Profiles:
     def predict(self, text: str | None) -> tuple[str, float]:
         apart, most = self.distances(text) if text else (None, 0)
         if not most:
-            return "und", 0.0
+            return UNKNOWN, 0.0
         order = np.argsort(apart, kind="stable")
         near = 1 - apart[order[0]] / most
         next_near = 1 - apart[order[1]] / most if len(order) > 1 else 0.0

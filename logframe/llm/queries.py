@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logframe.llm.best_fit import best_fit_packing
 from logframe.llm.common import table
 from logframe.llm.decontaminate import contaminated
+from logframe.llm.html_extract import extract_text
 from logframe.llm.language_id import language_id
 from logframe.llm.near_dedup import near_duplicates
 from logframe.llm.perplexity import quality_rules
@@ -63,6 +64,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
