@@ -29,11 +29,11 @@ NUMBER, NAME, UNIT = "", "", ""
 UNITS = "km|cm|mm|kg|mg|ml|min|hours?|days?|weeks?|months?|years?|miles?|meters?|metres?|grams?|liters?|litres?|dollars?|euros?|percent|feet|inches|m|g|l|s|h|%"
 
 
-def tokens(text: Column, values: bool = False) -> Column:
-    """The tokens of a text; with values, a placeholder is followed by what it stands for."""
+def tokens(text: Column, values: bool = False, names: bool = True) -> Column:
+    """The tokens of a text; with values, a placeholder is followed by what it stands for; without names, names are words."""
     kept = lambda mark, group: f" {mark}{group if values else ''} "
     clean = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;]\x20)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", kept(NAME, "$0"))
+    named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;]\x20)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", kept(NAME, "$0")) if names else clean
     united = F.regexp_replace(named, rf"(?<=\p{{N}})\x20?({UNITS})(?![\p{{L}}\p{{N}}])", kept(UNIT, "$1"))
     numbered = F.regexp_replace(united, r"\p{N}+", kept(NUMBER, "$0"))
     spaced = F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT}]+", " "))
@@ -51,14 +51,19 @@ def _windows(words: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, size: int, shorter_than: int | None = None) -> DataFrame:
-    """hash, item_id, at and n (windows of the item), each window once an item, at its first place."""
-    words = items.select("item_id", tokens(F.col("text")).alias("words"))
-    words = words.filter((F.size("words") >= size) & (F.size("words") < (shorter_than or 2**31 - 1)))
-    literal = lambda i: F.size(F.filter(F.slice("words", i + 1, size), lambda t: ~t.rlike(f"^[{NUMBER}-{UNIT}]")))
-    hashes = words.select("item_id", "words", F.posexplode(_windows(F.col("words"), size)).alias("at", "hash"))
-    hashes = hashes.filter(literal(F.col("at")) >= LITERAL * size)
-    first = hashes.groupBy("item_id", "hash").agg(F.min("at").cast("int").alias("at"))
-    count = first.groupBy("item_id").agg(F.count("*").alias("n"))
+    """hash, item_id, at and n (windows of the item), each window once an item, at its first place.
+
+    Names are placeholders in one reading of an item and words in another, as a copy may be in one case.
+    """
+    readings = []
+    for names in (True, False):
+        words = items.select("item_id", tokens(F.col("text"), names=names).alias("words"))
+        words = words.filter((F.size("words") >= size) & (F.size("words") < (shorter_than or 2**31 - 1)))
+        literal = lambda i: F.size(F.filter(F.slice("words", i + 1, size), lambda t: ~t.rlike(f"^[{NUMBER}-{UNIT}]")))
+        hashes = words.select("item_id", "words", F.posexplode(_windows(F.col("words"), size)).alias("at", "hash"))
+        readings.append(hashes.filter(literal(F.col("at")) >= LITERAL * size).select("item_id", "at", "hash"))
+    first = reduce(DataFrame.unionByName, readings).groupBy("item_id", "hash").agg(F.min("at").cast("int").alias("at"))
+    count = first.groupBy("item_id").agg(F.count_distinct("at").alias("n"))
     return first.join(count, "item_id").select("hash", "item_id", "at", "n")
 
 

@@ -71,11 +71,12 @@ def _sketcher(size: int, k: int):
             sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
             columns = [
                 b.column(0),
+                b.column(2),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "print", "sketch"])
 
     return sketch
 
@@ -203,16 +204,11 @@ def _lists(nodes: DataFrame, percent: int, k: int) -> DataFrame:
     return rows.select("rep", "n", "alone", F.explode(F.slice("v", F.lit(1), F.col("most"))).alias("e")).select("e.value", "rep", "n", "alone")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; see the contract of the sets above.
-
-    Linked are documents whose sets' intersection is at least ``percent`` hundredths of their union; component_id is the
-    smallest doc_id that links reach. Texts that are null or have no words have the empty set and are linked with
-    nothing. Rows without a doc_id are linked with nothing: component_id is null and they are kept. Rows of one doc_id
-    are one node of the graph if their texts are equal, and repeated rows are returned each.
-    """
+def _grouped(docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
+    """doc_id, key (hash of the text), n and component_id of every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    rows = written(source.mapInArrow(_sketcher(shingle, k), "doc_id long, n long, print binary, sketch array<long>"), "sketches")
+    rows = source.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = written(rows.mapInArrow(_sketcher(shingle, k), "doc_id long, key long, n long, print binary, sketch array<long>"), "sketches")
     linkable = rows.filter("n > 0 and doc_id is not null")
     nodes = linkable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
@@ -246,12 +242,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     joined = rows.drop("sketch").join(named, "print", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return joined.select("doc_id", "key", "n", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; see the contract of the sets above.
+
+    Linked are documents whose sets' intersection is at least ``percent`` hundredths of their union; component_id is the
+    smallest doc_id that links reach. Texts that are null or have no words have the empty set and are linked with
+    nothing. Rows without a doc_id are linked with nothing: component_id is null and they are kept. Rows of one doc_id
+    are one node of the graph if their texts are equal, and repeated rows are returned each.
+    """
+    rows = _grouped(docs, shingle, percent, k)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, k: int = K) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest doc_id, and of repeated rows one."""
-    found = near_duplicates(docs, shingle, percent, k).filter("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("k_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group, with all its columns: the one with the smallest doc_id, and of repeated rows one.
+
+    Should texts of one group have that doc_id more than once, the one with the smallest hash stays. Rows without a
+    doc_id all stay.
+    """
+    first = _grouped(docs, shingle, percent, k).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"))
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"))
+    key = next(c for c in (f"key{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    chosen = keyed.join(first, (F.col("doc_id") == F.col("first_id")) & (F.col(key) == F.col("first_key")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.filter(F.col("doc_id").isNull()))
