@@ -7,14 +7,15 @@ them, and the Jaccard similarity of the full sets decides.
 Two documents of the wanted similarity share at least C retained values but for a chance of MISS, so they share one of
 the K - C + 1 rarest of each: only those are in the lists, which keeps values of common passages out of them. Candidates
 never are all pairs of a list. Rounds compare each member with one leader of the list; the last round compares members
-of different components found so far, with the overlap of the sketches as a condition of the join. Pairs inside a
-component need no comparison, as the components stay the same without them.
+of different components found so far, with sizes, shared shingles and larger sketches as conditions of the join. Pairs
+inside a component need no comparison, as the components stay the same without them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from logframe.llm.common import written
 SHINGLE, PERCENT, K = 5, 80, 32
 #: The chance that a pair of exactly the wanted similarity shares fewer retained values than asked for.
 MISS = 1e-7
-#: Rounds with leaders, before the last one.
-LEADER_ROUNDS = 3
+#: Rounds with leaders go on while they find a link for every so many entries of the lists; this is about cost alone.
+WORTH = 100
+#: Values of a set that go along into the last round's join: 4 KB at most, and all of a set that has no more.
+FAR = 512
 #: Up to so many document ids are broadcast (16 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -126,8 +129,14 @@ def _near_size(a: Column, b: Column, percent: int) -> Column:
 
 
 class _Linker:
+    """Candidates and links among the members of the inverted lists.
+
+    A shingle that only one member has is shared with no other, so ``shared``, the number of the others, bounds every
+    overlap from above. Members and pairs for which that bound is too low are left out; it is exact.
+    """
+
     def __init__(self, docs: DataFrame, nodes: DataFrame, index: DataFrame, size: int, percent: int, k: int):
-        self.nodes, self.index, self.percent, self.k = nodes, index, percent, k
+        self.percent, self.k = percent, k
         self.least = least_overlap(k, percent)
         wanted = index.select(F.col("rep").alias("doc_id")).distinct()
         if wanted.count() <= BROADCAST_ROWS:
@@ -135,7 +144,19 @@ class _Linker:
         texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         made = texts.mapInArrow(_set_maker(size), "doc_id long, print binary, set array<long>")
         prints = nodes.select(F.col("rep").alias("doc_id"), "print")
-        self.sets = written(made.join(prints, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("rep"), "set"), "sets")
+        once = made.join(prints, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
+        sketch = F.slice("set", 1, k).alias("sketch")
+        self.sets = written(once.select(F.col("doc_id").alias("rep"), F.size("set").alias("n"), sketch, "set"), "sets")
+        held = self.sets.select("rep", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+        own = held.filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+        # an id with several texts is a member with several sets: no bound for those
+        own = own.join(self.sets.groupBy("rep").count().filter("count > 1"), "rep", "left_anti")
+        bound = index.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        self.index = written(bound.filter(100 * F.col("shared") >= percent * F.col("n")), "bounded-lists")
+
+    def reach(self, n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Column:
+        """Whether sizes and shared shingles leave room for the wanted similarity."""
+        return ((100 + self.percent) * F.least(shared_a, shared_b, n_a, n_b)) >= self.percent * (n_a + n_b)
 
     def need(self, n: Column) -> Column:
         """The retained values that a set of n shingles must share with any of its near duplicates."""
@@ -143,9 +164,8 @@ class _Linker:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough; the sketches are asked first."""
-        sketch = self.nodes.select("rep", "n", "sketch")
         side = lambda t, x, *c: t.select(F.col("rep").alias(x), *(F.col(y).alias(f"{y}_{x}") for y in c))
-        told = pairs.join(side(sketch, "a", "n", "sketch"), "a").join(side(sketch, "b", "n", "sketch"), "b")
+        told = pairs.join(side(self.sets, "a", "n", "sketch"), "a").join(side(self.sets, "b", "n", "sketch"), "b")
         likely = _overlap(F.col("sketch_a"), F.col("sketch_b"), self.k) >= self.need(F.greatest("n_a", "n_b"))
         told = told.filter(_near_size(F.col("n_a"), F.col("n_b"), self.percent) & likely).select("a", "b", "n_a", "n_b")
         full = told.join(side(self.sets, "b", "set"), "b").join(side(self.sets, "a", "set"), "a")
@@ -172,23 +192,31 @@ class _Linker:
         In later rounds the leader is outside the list's largest component, which has been compared with its own.
         """
         choice = lists if first else self.with_largest(lists).filter("small")
-        leaders = choice.groupBy("value").agg(F.min(F.struct("alone", "rep", "component", "n")).alias("leader"))
+        leaders = choice.groupBy("value").agg(F.min(F.struct("alone", "rep", "component", "n", "shared")).alias("leader"))
         joined = lists.join(leaders, "value").filter(F.col("component") != F.col("leader.component"))
-        joined = joined.filter(_near_size(F.col("n"), F.col("leader.n"), self.percent))
+        joined = joined.filter(self.reach(F.col("n"), F.col("shared"), F.col("leader.n"), F.col("leader.shared")))
         return joined.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
     def cross_pairs(self, lists: DataFrame) -> DataFrame:
-        """Members of different components of a list whose sketches overlap enough.
+        """Members of different components of a list that are likely enough; between small sets, all that are linked.
 
-        The component with most members of a list is only one side of it, so its members do not meet one another.
+        The component with most members of a list is only one side of it, so its members do not meet one another. A
+        pair is looked at in the first list that both are in. The tests are conditions of the join, from the cheapest
+        on, so what does not pass makes no row.
         """
-        rows = self.with_largest(lists).join(self.nodes.select("rep", "sketch"), "rep")
-        a = rows.filter("small").select("value", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "sketch")))
-        b = rows.select("value", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "sketch", "small")))
+        far = self.sets.select("rep", F.slice("set", 1, FAR).alias("far"))
+        mine = lists.groupBy("rep", "n").agg(F.collect_list("value").alias("values"))  # at most k
+        rows = self.with_largest(lists).join(mine, ["rep", "n"]).join(far, "rep")
+        names = ("rep", "n", "shared", "component", "values", "far")
+        a = rows.filter("small").select("value", *(F.col(c).alias(f"{c}_a") for c in names))
+        b = rows.select("value", *(F.col(c).alias(f"{c}_b") for c in (*names, "small")))
         once = ~F.col("small_b") | (F.col("rep_a") < F.col("rep_b"))
-        close = _near_size(F.col("n_a"), F.col("n_b"), self.percent)
-        overlap = F.size(F.array_intersect("sketch_a", "sketch_b")) >= self.need(F.greatest("n_a", "n_b"))
-        condition = (a["value"] == b["value"]) & (F.col("component_a") != F.col("component_b")) & once & close & overlap
+        first = F.array_min(F.array_intersect("values_a", "values_b")) == a["value"]
+        close = self.reach(*map(F.col, ("n_a", "shared_a", "n_b", "shared_b")))
+        common, both = F.size(F.array_intersect("far_a", "far_b")), F.col("n_a") + F.col("n_b")
+        need = F.least(F.lit(least_overlap(FAR, self.percent)), F.ceil(F.greatest("n_a", "n_b") * self.percent / 200))
+        alike = F.when(F.greatest("n_a", "n_b") <= FAR, 100 * common >= self.percent * (both - common)).otherwise(common >= need)
+        condition = (a["value"] == b["value"]) & (F.col("component_a") != F.col("component_b")) & once & close & first & alike
         return a.join(b, condition).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
@@ -215,23 +243,18 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     index = written(_lists(nodes, percent, k), "lists")
     linker = _Linker(source, nodes, index, shingle, percent, k)
 
-    links, found = None, None
-    for round_no in range(LEADER_ROUNDS + 1):
-        lists = written(linker.with_components(found), "open-lists")
-        if lists.isEmpty():
-            break
-        pairs = linker.leader_pairs(lists, round_no == 0) if round_no < LEADER_ROUNDS else linker.cross_pairs(lists)
-        new = written(linker.confirmed(pairs), "links")
-        if new.isEmpty():
-            if round_no < LEADER_ROUNDS:
-                new = written(linker.confirmed(linker.cross_pairs(lists)), "links")
-                round_no = LEADER_ROUNDS
-            if new.isEmpty():
+    found = None
+    for last in (False, True):
+        while True:
+            lists = written(linker.with_components(found), "open-lists")
+            pairs = linker.cross_pairs(lists) if last else linker.leader_pairs(lists, found is None)
+            new = written(linker.confirmed(pairs), "links")
+            n = new.count()
+            if n:
+                old = [] if found is None else [found.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+                found = written(components(reduce(DataFrame.unionByName, old, new)), "components")
+            if last or not n or n * WORTH < lists.count():
                 break
-        links = new if found is None else found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new)
-        found = written(components(links), "components")
-        if round_no == LEADER_ROUNDS:
-            break
 
     # the last round has compared all that were still apart, so no further link can join two components
     named = nodes.select("print", "rep")
