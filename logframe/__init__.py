@@ -33,6 +33,7 @@ from logframe.sources.catalog import (
     service_status,
 )
 from logframe.sources.logs import (
+    damaged_files,
     read_blocks,
     read_log_lines,
     read_rotated,

@@ -82,7 +82,12 @@ def event_entries(events: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="logframe-")
+    if shared:
+        return f"{shared}/{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="logframe-")
 
 
 def write_logs(events: DataFrame, root: str) -> Catalog:
@@ -105,7 +110,7 @@ def write_logs(events: DataFrame, root: str) -> Catalog:
 
 
 # Rotation by time: the first day of the month that goes into each log, newest log first.
-ROTATED = (("app.log", 22), ("app.log.1", 15), ("app.log.2.gz", 8), ("app-04-20-2026-1.log.gz", 1))
+ROTATED = (("app.log", 22), ("app.log.1", 15), ("app.log.2.gz", 8), ("app-week1.log.gz", 1))
 UNRELATED = ("application.log", "other.log")
 
 

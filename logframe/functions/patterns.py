@@ -33,10 +33,6 @@ NULL_WORDS = ("", "-", "null", "N/A")
 
 DEFAULT_COLOR = "#1a6fa3"
 DEFAULT_PAGE = 500
-MAX_PAGE = 50_000
-MAX_CACHED = 100_000
-DEFAULT_DEPTH = 100_000
-MAX_DEPTH = 10_000_000
 
 CSV_COLUMNS = (
     ("Timestamp", "ts"),

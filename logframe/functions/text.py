@@ -104,11 +104,17 @@ def has_stack_trace() -> Column:
     return F.coalesce(~is_blank(stack), F.lit(False))
 
 
-def iso_text(ts: Column) -> Column:
-    """``yyyy-MM-ddTHH:mm[:ss[.fraction]]``: no zero seconds, fraction in groups of three digits."""
+def iso_text(ts: Column, nano_rem: Column | None = None) -> Column:
+    """``yyyy-MM-ddTHH:mm[:ss[.fraction]]``: no zero seconds, fraction in groups of three digits.
+
+    ``nano_rem`` has digits seven to nine of the fraction.
+    """
     text = ts.cast("timestamp_ntz").cast("string")
     fraction = F.substring(text, 21, 6)
-    width = F.when(F.length(fraction) > 3, 6).otherwise(3)
+    if nano_rem is not None:
+        nanos = F.concat(F.rpad(fraction, 6, "0"), F.lpad(nano_rem.cast("string"), 3, "0"))
+        fraction = F.when(F.coalesce(nano_rem, F.lit(0)) > 0, nanos).otherwise(fraction)
+    width = F.when(F.length(fraction) > 6, 9).when(F.length(fraction) > 3, 6).otherwise(3)
     seconds = F.left(text, F.lit(19))
     plain = F.when(F.endswith(seconds, F.lit(":00")), F.left(text, F.lit(16))).otherwise(seconds)
     full = F.concat(seconds, F.lit("."), F.rpad(fraction, width, "0"))

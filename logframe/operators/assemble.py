@@ -97,7 +97,10 @@ def _split_index(rows: DataFrame, files: DataFrame, kept: Column) -> DataFrame:
             F.flatten(F.transform(F.sort_array(F.collect_list("head")), lambda h: h["head"])).alias("carry"),
         )
     )
-    return tails.select("file_id", "owner.*", "carry").join(file_ids(files), "file_id")
+    # A file that came after the listing has no name here: its lines fail the job instead of vanishing.
+    late = F.raise_error(F.lit("A log file was written between its listing and the scan; list and read again"))
+    named = tails.select("file_id", "owner.*", "carry").join(file_ids(files), "file_id", "left")
+    return named.withColumn("file_path", F.when(F.col("file_path").isNull(), late).otherwise(F.col("file_path")))
 
 
 def assemble_entries(
@@ -131,20 +134,19 @@ def assemble_entries(
         (F.sum(n_bytes).over(upto) - n_bytes).alias("byte_pos"),
         F.row_number().over(Window.partitionBy(*_SPLIT).orderBy("row_id")).alias("line_pos"),
     )
-    in_entry = Window.partitionBy(*_SPLIT, "local_seq").orderBy("row_id")
-    whole = in_entry.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = placed.filter("kept").select(
-        *_SPLIT,
-        "local_seq",
-        "byte_pos",
-        "line_pos",
-        F.collect_list("line").over(whole).alias("own"),
-        F.row_number().over(in_entry).alias("nth"),
+    in_order = F.sort_array(F.collect_list(F.struct("row_id", "line")))
+    own = (
+        placed.filter("kept")
+        .groupBy(*_SPLIT, "local_seq")
+        .agg(
+            F.min("byte_pos").alias("byte_pos"),
+            F.min("line_pos").alias("line_pos"),
+            F.transform(in_order, lambda r: r["line"]).alias("own"),
+        )
     )
     index = _split_index(rows, files, kept).hint("shuffle_hash")
     entries = (
-        own.filter(F.col("nth") == 1)
-        .join(index, list(_SPLIT))
+        own.join(index, list(_SPLIT))
         # Other head lines have moved to the entry they continue.
         .filter((F.col("local_seq") > 0) | F.col("opens_file"))
     )

@@ -8,6 +8,8 @@ only ever removes rows that cannot be among the k, so the answer does not depend
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from logframe.operators.filters import Moment, time_range
 
 TIE = ("ts_nano_rem", "service", "file_path", "file_offset")
 _CHUNK_BYTES = 64 * 1024 * 1024
+# Services whose window edges (about 200 bytes each) are broadcast.
+_MAX_SERVICES = 100_000
 
 
 def is_asc(order: str | None) -> bool:
@@ -54,18 +58,22 @@ def _time_bound(df: DataFrame, order: str, k: int) -> tuple[Column, Column]:
 def cap_entries(
     df: DataFrame,
     order: str = "desc",
-    k: int = P.MAX_CACHED,
+    k: int | None = None,
     *,
     keep_null_ts: bool = True,
     bounded: bool = True,
 ) -> DataFrame:
-    """The newest or oldest k entries.
+    """The newest or oldest k entries with a time; all entries where k is None.
 
-    Entries without a time are never the ones cut off when ``keep_null_ts`` is set (live search) and
-    the first ones cut off otherwise (search in one rotated file). ``bounded`` finds the time of the
-    k-th row first, at the price of reading ``ts`` twice; switch it off for small inputs.
+    Entries without a time never take the place of one with a time. With ``keep_null_ts`` (live search) all of
+    them stay beside the k, outside any top-k; otherwise (search in one rotated file) they fill what is left of
+    the k. ``bounded`` finds the time of the k-th row first, at the price of reading ``ts`` twice, so that no
+    task has k rows of every other to merge; switch it off for a small k.
     """
+    if k is None:
+        return df
     ts = F.col("ts")
+    untimed = df.filter(ts.isNull())
     if bounded:
         edge, total = _time_bound(df, order, k)
         inside = ts <= edge if is_asc(order) else ts >= edge
@@ -73,30 +81,40 @@ def cap_entries(
             # The day of the bound skips whole partitions but that of entries without a time.
             log_date, day = F.col("log_date"), F.to_date(edge)
             df = df.filter(log_date.isNull() | (log_date <= day if is_asc(order) else log_date >= day))
-        untimed = ts.isNull() if keep_null_ts else ts.isNull() & (total < k)
-        df = df.filter(inside | untimed)
+        df = df.filter(inside | (ts.isNull() & (total < k)))
     if not keep_null_ts:
         return df.orderBy(*sort_keys(order)).limit(k)
-    return df.orderBy(ts.isNull().desc(), *sort_keys(order)).limit(k)
+    return df.filter(ts.isNotNull()).orderBy(*sort_keys(order)).limit(k).unionByName(untimed)
 
 
-def page_size(limit: int | None) -> int:
-    """Rows of a page: no positive limit means all, at most 50,000 either way."""
-    return min(limit, P.MAX_PAGE) if limit is not None and limit > 0 else P.MAX_PAGE
+def page_size(limit: int | None) -> int | None:
+    """Rows of a page: no positive limit means all."""
+    return limit if limit is not None and limit > 0 else None
 
 
 def page(df: DataFrame, limit: int | None = P.DEFAULT_PAGE, start: int = 0, order: str = "desc") -> DataFrame:
-    """Rows [start, start + limit) of the ordered view."""
+    """Rows [start, start + limit) of the ordered view; all of them without a limit.
+
+    A start is skipped row by row: deep pages are for ``page_after``.
+    """
     ordered = order_entries(df, order)
-    return (ordered.offset(start) if start else ordered).limit(page_size(limit))
+    ordered = ordered.offset(start) if start else ordered
+    size = page_size(limit)
+    return ordered if size is None else ordered.limit(size)
 
 
 def page_after(
-    df: DataFrame, after: Row | None, limit: int | None = P.DEFAULT_PAGE, order: str = "desc"
+    df: DataFrame, after: Row | Mapping | None, limit: int | None = P.DEFAULT_PAGE, order: str = "desc"
 ) -> DataFrame:
-    """The page that follows the row ``after``: a predicate instead of an offset, for deep pages."""
-    if after is None:
-        return page(df, limit, 0, order)
+    """The page that follows the row ``after``: a predicate instead of an offset, for deep pages.
+
+    ``after`` has the sort keys of the last entry served: ts, ts_nano_rem, service, file_path, file_offset.
+    """
+    return page(df if after is None else df.filter(past_row(after, order)), limit, 0, order)
+
+
+def past_row(after: Row | Mapping, order: str = "desc") -> Column:
+    """Whether an entry comes after the row with these sort keys."""
     ts = F.col("ts")
     nano = F.col("ts_nano_rem")
     same_file = (F.col("file_path") == after["file_path"]) & (F.col("file_offset") > after["file_offset"])
@@ -106,44 +124,47 @@ def page_after(
     finer = nano > after["ts_nano_rem"] if is_asc(order) else nano < after["ts_nano_rem"]
     tie = finer | ((nano == after["ts_nano_rem"]) & tie)
     if after["ts"] is None:
-        past = ts.isNull() & tie
-    else:
-        at = F.lit(after["ts"]).cast("timestamp_ntz")
-        later = ts > at if is_asc(order) else ts < at
-        past = ts.isNull() | later | ((ts == at) & tie)
-    return page(df.filter(past), limit, 0, order)
+        return ts.isNull() & tie
+    at = F.lit(after["ts"]).cast("timestamp_ntz")
+    later = ts > at if is_asc(order) else ts < at
+    return ts.isNull() | later | ((ts == at) & tie)
 
 
-def scan_depth(requested: int | None, default: int = P.DEFAULT_DEPTH, ceiling: int = P.MAX_DEPTH) -> int:
-    """Entries per service to look at: the request, at most the ceiling, else the default."""
-    return min(requested, ceiling) if requested is not None and requested > 0 else default
+def scan_depth(requested: int | None) -> int | None:
+    """Entries per service to look at; no positive number means all."""
+    return requested if requested is not None and requested > 0 else None
 
 
 def _log_window(df: DataFrame, n: int, oldest: bool) -> DataFrame:
     """The first or last n entries per service in log order, which is (file path, offset).
 
-    Counts per 64 MiB of log tell in which of these chunks the n-th entry of a service lies; only
-    the entries of that chunk are numbered. No task holds more of a service than one chunk.
+    Counts per 64 MiB of log tell in which of these chunks the n-th entry of a service lies. Entries of
+    the chunks inside pass by a filter; only those of that edge chunk are numbered, so a window costs
+    the shuffle of one chunk per service.
     """
     place = F.struct(F.col("file_path"), F.floor(F.col("file_offset") / _CHUNK_BYTES).alias("chunk"))
     counts = df.groupBy("service", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
     toward = F.col("place").asc() if oldest else F.col("place").desc()
     upto = F.sum("n").over(Window.partitionBy("service").orderBy(toward))
     needed = counts.withColumn("before", upto - F.col("n")).filter(F.col("before") < n)
-    # One row per service, as many as the catalog has: the chunk of the n-th entry and how many of
-    # its entries are still inside.
     outermost = F.max if oldest else F.min
     edge = outermost(F.struct("place", (F.lit(n) - F.col("before")).alias("room")))
     bounds = needed.groupBy(F.col("service").alias("_service")).agg(edge.alias("_edge"))
-    at, edge = F.col("_place"), F.col("_edge.place")
+    # One row per service: broadcast up to a number that is checked while it runs.
+    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    too_many = F.raise_error(F.lit(f"More than {_MAX_SERVICES} services: search them in groups"))
+    checked = bounds.withColumn("_total", total)
+    checked = checked.withColumn("_service", F.when(F.col("_total") > _MAX_SERVICES, too_many).otherwise(F.col("_service")))
     near = df.withColumn("_place", place).join(
-        F.broadcast(bounds),
-        F.col("service").eqNullSafe(F.col("_service")) & ((at <= edge) if oldest else (at >= edge)),
+        F.broadcast(checked.drop("_total")), F.col("service").eqNullSafe(F.col("_service"))
     )
+    at, edge = F.col("_place"), F.col("_edge.place")
+    inner = near.filter((at < edge) if oldest else (at > edge))
     offset = F.col("file_offset")
     in_chunk = Window.partitionBy("service", "_place").orderBy(offset.asc() if oldest else offset.desc())
-    ranked = near.withColumn("_rank", F.row_number().over(in_chunk))
-    return ranked.filter((at != edge) | (F.col("_rank") <= F.col("_edge.room"))).select(*df.columns)
+    ranked = near.filter(at == edge).withColumn("_rank", F.row_number().over(in_chunk))
+    ranked = ranked.filter(F.col("_rank") <= F.col("_edge.room"))
+    return inner.select(*df.columns).unionByName(ranked.select(*df.columns))
 
 
 def bounded_by_time(order: str, from_ts: Moment | None, to_ts: Moment | None) -> bool:

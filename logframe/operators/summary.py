@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logframe.operators.order import is_asc
 
 
 def next_offsets(served: DataFrame, order: str = "desc", key: str = "service") -> DataFrame:
-    """One row per service over the rows served so far: the byte offset to resume from."""
+    """One row per key over the rows served so far: the byte offset to resume from, within one file."""
     edge = F.max("file_offset") if is_asc(order) else F.min("file_offset")
     placed = served.filter(F.col(key).isNotNull() & F.col("file_offset").isNotNull())
     return placed.groupBy(key).agg(edge.alias("next_offset"))
@@ -23,32 +23,38 @@ def offsets_map(served: DataFrame, order: str = "desc", key: str = "service") ->
 
 
 def search_summary(
-    spark: SparkSession,
     structural: DataFrame,
-    view: DataFrame,
     page: DataFrame,
     *,
-    limit: int,
+    matched: Column,
+    cap: int | None = None,
+    keep_null_ts: bool = True,
+    limit: int | None,
     start: int = 0,
     order: str = "desc",
     served: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: rows past the structural filters, rows of the view, limit, order, offsets, has_more."""
-
-    def count(df: DataFrame):
-        return df.agg(F.count(F.lit(1))).scalar()
-
-    totals = spark.range(1).select(
-        count(view).alias("total_matched"),
-        count(structural).alias("filtered_by_structured"),
-        count(page).alias("returned"),
-        offsets_map(page if served is None else served, order).scalar().alias("next_offsets"),
-    )
-    return totals.select(
+    """One row: rows past the structural filters, rows of the view, limit, order, offsets, has_more.
+
+    All counts are one aggregate over the structurally filtered entries; ``matched`` is the search text.
+    The offsets come from the rows served.
+    """
+    timed = F.count_if(matched & F.col("ts").isNotNull())
+    untimed = F.count_if(matched & F.col("ts").isNull())
+    if cap is None:
+        total = timed + untimed
+    elif keep_null_ts:
+        total = F.least(timed, F.lit(cap)) + untimed
+    else:
+        total = F.least(timed + untimed, F.lit(cap))
+    counts = structural.agg(total.alias("total_matched"), F.count(F.lit(1)).alias("filtered_by_structured"))
+    seen = offsets_map(page if served is None else served, order)
+    end = F.lit(start + limit) if limit is not None else F.col("total_matched")
+    return counts.crossJoin(seen).select(
         "total_matched",
         "filtered_by_structured",
-        F.lit(limit).alias("page_limit"),
+        F.lit(limit).cast("int").alias("page_limit"),
         F.lit("asc" if is_asc(order) else "desc").alias("sort_order"),
         "next_offsets",
-        (F.lit(start) + F.col("returned") < F.col("total_matched")).alias("has_more"),
+        (end < F.col("total_matched")).alias("has_more"),
     )

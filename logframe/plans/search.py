@@ -1,8 +1,8 @@
 """Searches: the operators composed in the one order that fixes the answers.
 
-scan, assemble, parse, scan window, structural filters, [query], cap, [query], order, page. A deep
-search (no depth, or a depth beyond the default) applies the query before the cap, a default one
-after it; the two do not commute.
+scan, assemble, parse, scan window, structural filters, search text, cap, order, page. Nothing is cut
+unless the request asks for it. To apply a search text behind a cap, compose ``cap_entries`` and
+``filter_query``; the two do not commute.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from logframe.functions import patterns as P
 from logframe.operators import order as O
 from logframe.operators.filters import Moment, filter_entries, filters_on_block, is_set, merge_values
 from logframe.operators.parse import parse_entries
-from logframe.operators.query import filter_query, query_on_block
+from logframe.operators.query import filter_query, query_column, query_on_block
 from logframe.operators.summary import search_summary
 from logframe.sources import logs
 from logframe.sources.catalog import Catalog, resolve_services
@@ -25,7 +26,12 @@ from logframe.sources.catalog import Catalog, resolve_services
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """What to search for. ``scan_depth=None`` reads everything."""
+    """What to search for.
+
+    ``scan_depth`` looks at so many entries per service, ``cap`` keeps so many of the view, ``limit`` shows so
+    many of the page; None or 0 of either means all. ``after`` goes on behind the last entry served.
+    ``keep_blank`` and ``keep_orphan`` are those of the assembly of raw logs.
+    """
 
     services: tuple[str, ...] = ()
     level: str | None = None
@@ -41,25 +47,20 @@ class SearchRequest:
     query: str | None = None
     from_ts: Moment | None = None
     to_ts: Moment | None = None
-    limit: int = P.DEFAULT_PAGE
+    limit: int | None = P.DEFAULT_PAGE
     start: int = 0
     sort_order: str = "desc"
     scan_depth: int | None = None
-    default_depth: int = P.DEFAULT_DEPTH
-    depth_limit: int = P.MAX_DEPTH
-    cap: int = P.MAX_CACHED
+    cap: int | None = None
+    after: Row | Mapping | None = None
+    keep_blank: bool = False
+    keep_orphan: bool = True
     file_offset: int | None = None
     service_offsets: Mapping[str, int] | None = None
 
     @property
     def depth(self) -> int | None:
-        if self.scan_depth is None:
-            return None
-        return O.scan_depth(self.scan_depth, self.default_depth, self.depth_limit)
-
-    @property
-    def deep(self) -> bool:
-        return self.depth is None or self.depth > self.default_depth
+        return O.scan_depth(self.scan_depth)
 
     @property
     def filtered(self) -> bool:
@@ -84,16 +85,18 @@ class SearchResult:
     structural: DataFrame
     view: DataFrame
     page: DataFrame
+    keep_null_ts: bool = True
 
     def summary(self) -> DataFrame:
-        req = self.request
-        served = O.page(self.view, req.start + O.page_size(req.limit), 0, req.sort_order)
+        req, size = self.request, O.page_size(self.request.limit)
+        served = O.page(self.view, None if size is None else req.start + size, 0, req.sort_order)
         return search_summary(
-            self.spark,
             self.structural,
-            self.view,
             self.page,
-            limit=O.page_size(req.limit),
+            matched=query_column(req.query) if is_set(req.query) else F.lit(True),
+            cap=req.cap,
+            keep_null_ts=self.keep_null_ts,
+            limit=size,
             start=req.start,
             order=req.sort_order,
             served=served if req.start else None,
@@ -103,6 +106,7 @@ class SearchResult:
 def windowed(entries: DataFrame, req: SearchRequest, streamed: bool = False) -> DataFrame:
     """The entries a search looks at: past its cursors and inside its scan depth."""
     if req.service_offsets or req.file_offset is not None:
+        logs.check_cursors(entries, req.service_offsets or {}, req.file_offset)
         entries = logs.resume(entries, req.service_offsets or {}, req.sort_order, default=req.file_offset)
     if req.depth is None:
         return entries
@@ -122,7 +126,7 @@ def _scanned(spark: SparkSession, services: Catalog, req: SearchRequest, streame
 
     A window that depends on nothing but the place in the log is cut before parsing.
     """
-    blocks = logs.read_blocks(spark, services)
+    blocks = logs.read_blocks(spark, services, keep_blank=req.keep_blank, keep_orphan=req.keep_orphan)
     if streamed or not O.bounded_by_time(req.sort_order, req.from_ts, req.to_ts):
         return parse_entries(windowed(blocks, req, streamed))
     return windowed(parse_entries(blocks), req)
@@ -144,38 +148,21 @@ def search_entries(
     filters = req.structural()
     first = entries.filter(filters_on_block(**filters)) if parsing else entries
     structural = filter_entries(first, services=req.services, **filters)
-    wanted = structural
-    if req.deep:
-        wanted = structural.filter(query_on_block(req.query)) if parsing else structural
-        wanted = filter_query(wanted, req.query)
+    if req.after is not None:
+        structural = structural.filter(O.past_row(req.after, req.sort_order))
+    wanted = structural.filter(query_on_block(req.query)) if parsing else structural
+    wanted = filter_query(wanted, req.query)
     view = O.cap_entries(wanted, req.sort_order, req.cap, keep_null_ts=keep_null_ts, bounded=bounded)
-    view = view if req.deep else filter_query(view, req.query)
     page = O.page(view, req.limit, req.start, req.sort_order)
-    return SearchResult(entries.sparkSession, req, structural, view, page)
-
-
-# Rows that one task may merge for the exact cut of a cap without a bound on time.
-MERGE_ROWS = 10_000_000
+    return SearchResult(entries.sparkSession, req, structural, view, page, keep_null_ts)
 
 
-def _needs_bound(spark: SparkSession, cap: int) -> bool:
-    """Whether the cap's rows of all tasks are too many for one task to merge.
-
-    Assembled logs come in as many partitions as a shuffle has.
-    """
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) * cap > MERGE_ROWS
-
-
-def search(
-    spark: SparkSession, catalog: Catalog, *, bounded: bool | None = None, **request
-) -> SearchResult:
+def search(spark: SparkSession, catalog: Catalog, *, bounded: bool = True, **request) -> SearchResult:
     """Search the active logs of the services.
 
-    ``bounded`` finds the cap's last time in a pass of its own. The answer is the same either way;
-    left open, it depends on the number of shuffle partitions.
+    ``bounded`` finds the last time of a cap in a pass of its own; the answer is the same either way.
     """
     req = SearchRequest(**request)
-    bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
     chosen = resolve_services(catalog, req.services)
     streamed = tuple(s for s in chosen if s.log_file.endswith(".gz"))
     plain = tuple(s for s in chosen if s not in streamed)
@@ -202,12 +189,11 @@ def search_file(
     service: str,
     file_name: str,
     *,
-    bounded: bool | None = None,
+    bounded: bool = True,
     **request,
 ) -> SearchResult:
     """Search one rotated log of one service; entries without a time are cut off first."""
     req = SearchRequest(**{**request, "services": ()})
-    bounded = _needs_bound(spark, req.cap) if bounded is None else bounded
     entries = _scanned(spark, logs.rotated_service(spark, catalog, service, file_name), req)
     return search_entries(
         entries, req, keep_null_ts=False, bounded=bounded, parsing=req.depth is None

@@ -43,7 +43,7 @@ def text_column() -> Column:
     """The raw block of an entry, rebuilt from its fields where the block is blank."""
     raw, stack = F.col("raw_line"), F.col("stack_trace")
     text = F.concat(
-        F.coalesce(X.iso_text(F.col("ts")), F.lit("null")),
+        F.coalesce(X.iso_text(F.col("ts"), F.col("ts_nano_rem")), F.lit("null")),
         F.lit(" "),
         F.coalesce("level", F.lit("null")),
         F.lit(" ["),
@@ -74,24 +74,21 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(json_struct()).alias("value"))
 
 
-def _placed(df: DataFrame, order: str, single_file: bool, *first: Column) -> DataFrame:
-    """The rows in view order, over many files or in one."""
-    keys = (*first, *sort_keys(order))
-    return df.coalesce(1).sortWithinPartitions(*keys) if single_file else df.orderBy(*keys)
+def write_csv(df: DataFrame, path: str, order: str = "desc") -> None:
+    """Write the view as CSV: a byte-order mark and the header first, then the rows in order.
 
-
-def write_csv(df: DataFrame, path: str, order: str = "desc", *, single_file: bool = False) -> None:
-    """Write the view as CSV: a byte-order mark and the header first, then the rows in order."""
+    The files are ranges of the order, written in parallel; joined in name order they are one export.
+    """
     rows = df.select("ts", *TIE, csv_column().alias("value"), F.lit(1).alias("part"))
     head = df.sparkSession.range(1).select(F.lit(BOM + csv_header()).alias("value"), F.lit(0).alias("part"))
     lines = rows.unionByName(head, allowMissingColumns=True)
-    _placed(lines, order, single_file, F.col("part")).select("value").write.text(path)
+    lines.orderBy(F.col("part"), *sort_keys(order)).select("value").write.text(path)
 
 
-def write_txt(df: DataFrame, path: str, order: str = "desc", *, single_file: bool = False) -> None:
-    """Write the view as text: the raw blocks, each followed by one blank line."""
+def write_txt(df: DataFrame, path: str, order: str = "desc") -> None:
+    """Write the view as text: the raw blocks, each followed by one blank line. Files as in ``write_csv``."""
     blocks = df.select("ts", *TIE, text_column().alias("value"))
-    _placed(blocks, order, single_file).select("value").write.option("lineSep", "\n\n").text(path)
+    blocks.orderBy(*sort_keys(order)).select("value").write.option("lineSep", "\n\n").text(path)
 
 
 def write_json(df: DataFrame, path: str, order: str = "desc") -> None:

@@ -16,9 +16,11 @@ PARTITIONS = ("service", "log_date")
 TABLE_SCHEMA = T.StructType(ENTRY_SCHEMA.fields + [T.StructField("log_date", T.DateType())])
 
 
-def write_entries(df: DataFrame, path: str, mode: str = "append", *, rebalance: bool = True) -> None:
+def write_entries(df: DataFrame, path: str, mode: str = "errorifexists", *, rebalance: bool = True) -> None:
     """Write entries below ``path``, sorted by time within each file.
 
+    A second run fails instead of doubling the entries; ``mode="append"`` adds logs that are not in the table.
+
     Adaptive execution brings a service's day together, splits a hot one over as many tasks as its
     size asks for and joins small ones, so files are neither tiny nor huge. Without ``rebalance`` the
     rows stay in the tasks that assembled them: one shuffle less, more and smaller files.

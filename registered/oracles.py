@@ -111,7 +111,7 @@ def has(column: str, text: str) -> str:
 
 
 ROTATED_NAME = """CASE WHEN day(events.ts) >= 22 THEN 'app.log' WHEN day(events.ts) >= 15 THEN 'app.log.1'
-  WHEN day(events.ts) >= 8 THEN 'app.log.2.gz' ELSE 'app-04-20-2026-1.log.gz' END"""
+  WHEN day(events.ts) >= 8 THEN 'app.log.2.gz' ELSE 'app-week1.log.gz' END"""
 
 PARSED = (
     "event_id, service, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, 0 AS ts_nano_rem, level, user_id, site_id,"
@@ -161,7 +161,20 @@ SEARCH_FILTER = """level = 'ERROR' AND contains(user_id, 'u1')
 
 
 def _capped(k: int, where: str = "true", order: str = NEWEST) -> str:
-    return f"(SELECT * FROM fe WHERE {where} ORDER BY ts IS NULL DESC, {order} LIMIT {k})"
+    """The first k entries with a time, and all without one."""
+    timed = f"(SELECT * FROM fe WHERE {where} AND ts IS NOT NULL ORDER BY {order} LIMIT {k})"
+    return f"(SELECT * FROM {timed} UNION ALL SELECT * FROM fe WHERE {where} AND ts IS NULL)"
+
+
+def _ends(order: str) -> str:
+    def edge(function: str, name: str) -> str:
+        columns = (f"{MS} AS", "ts"), ("CAST(file_no AS BIGINT) AS", "file_no"), ("file_offset AS", "file_offset")
+        return ", ".join(f"{function}({c.removesuffix(' AS')}, nth) AS {name}_{n}" for c, n in columns)
+
+    return files(
+        f"SELECT service, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, {edge('arg_min_null', 'first')},"
+        f" {edge('arg_max_null', 'last')} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS nth FROM fe) GROUP BY ALL"
+    )
 
 
 def _summary(structural: str, view: str, limit: int, start: int, order: str) -> str:
@@ -197,12 +210,13 @@ ORACLES: dict[str, str] = {
     ),
     "service_status": files(
         "SELECT service AS name, '#1a6fa3' AS color, true AS \"exists\","
-        " CAST(sum(n_bytes) // 1024 AS BIGINT) AS size_kb, true AS has_time FROM fe GROUP BY service"
-        " UNION ALL SELECT 'absent', '#00ff00', false, 0, false"
+        " CAST(sum(n_bytes) // 1024 AS BIGINT) AS size_kb, true AS has_time, count(event_id) AS n_entries"
+        " FROM fe GROUP BY service"
+        " UNION ALL SELECT 'absent', '#00ff00', false, 0, false, NULL"
     ),
     "list_rotated": ev(
-        f"SELECT DISTINCT {ROTATED_NAME} AS name, true AS has_size, true AS is_instant"
-        " FROM events WHERE day(events.ts) < 22"
+        f"SELECT {ROTATED_NAME} AS name, true AS has_size, true AS is_instant, count(*) AS n_entries"
+        " FROM events WHERE day(events.ts) < 22 GROUP BY ALL"
     ),
     "rotated_file_scan": ev(
         f"SELECT 'app' AS service, {ROTATED_NAME} AS log, {MS.replace('(ts', '(en.ts')} AS ts, level,"
@@ -263,7 +277,10 @@ ORACLES: dict[str, str] = {
     "filter_trace_ids": kept("contains(trace_id, 'tr12') OR contains(trace_id, 'tr7')"),
     "filter_span_ids": kept("contains(span_id, 'sp33') OR contains(span_id, 'sp9')"),
     "filter_user": kept("contains(user_id, 'u1')"),
-    "filter_user_case": kept("contains(user_id, 'U1')"),
+    "filter_user_case": ev(
+        "SELECT u AS user_id, count(event_id) AS n FROM (VALUES ('U1'), ('u1')) w(u)"
+        " LEFT JOIN en ON contains(en.user_id, u) GROUP BY u"
+    ),
     "filter_site": kept("contains(site_id, 's3')"),
     "filter_tenant": kept("contains(tenant_id, 't2')"),
     "filter_logger": kept("contains(lower(logger), 'x.sign')"),
@@ -310,15 +327,17 @@ ORACLES: dict[str, str] = {
         " AND NOT contains(lower(text), 'error')"
     ),
     # order, cap, pages, window
-    "sort_newest_first": files(f"SELECT {LIVE} FROM fe ORDER BY {NEWEST}"),
-    "sort_oldest_first": files(f"SELECT {LIVE} FROM fe ORDER BY {OLDEST}"),
+    "sort_newest_first": _ends(NEWEST),
+    "sort_oldest_first": _ends(OLDEST),
     "cap_live": files(f"SELECT {LIVE} FROM {_capped(700)}"),
     "cap_live_oldest": files(f"SELECT {LIVE} FROM {_capped(700, order=OLDEST)}"),
     "cap_rotated": files(f"SELECT {LIVE} FROM (SELECT * FROM fe ORDER BY {NEWEST} LIMIT 700)"),
     "page_limit": ev(f"SELECT {BRIEF} FROM en ORDER BY {E_NEWEST} LIMIT 500"),
-    "page_all": ev(f"SELECT {BRIEF} FROM en ORDER BY {E_NEWEST} LIMIT 50000"),
+    "page_all": ev(f"SELECT {BRIEF} FROM en ORDER BY {E_NEWEST}"),
     "next_page": ev(f"SELECT {BRIEF} FROM en ORDER BY {E_OLDEST} LIMIT 500 OFFSET 500"),
-    "page_past_end": ev("SELECT event_id, service, level, message FROM en WHERE false"),
+    "page_past_end": ev(
+        "SELECT 'end' AS \"start\", CAST(7 AS BIGINT) AS n UNION ALL SELECT 'past_end', 0 WHERE (SELECT count(*) FROM en) > 7"
+    ),
     "page_after_key": ev(f"SELECT {BRIEF} FROM en ORDER BY {E_NEWEST} LIMIT 500 OFFSET 500"),
     "scan_window_last": files(
         f"SELECT {LIVE} FROM fe QUALIFY row_number() OVER (PARTITION BY service"
@@ -344,11 +363,9 @@ ORACLES: dict[str, str] = {
         " GROUP BY service"
     ),
     "search_summary": _summary("level = 'WARN'", _capped(1000, "level = 'WARN'"), 500, 0, "desc"),
-    "search_summary_next": _summary(
-        "true", f"(SELECT * FROM {_capped(1000, order=OLDEST)} WHERE {has('thread', 'pool-1')})", 50, 50, "asc"
-    ),
+    "search_summary_next": _summary("true", _capped(1000, has("thread", "pool-1"), OLDEST), 50, 50, "asc"),
     # searches
-    "search_live": files(f"SELECT {LIVE} FROM {_capped(100000, SEARCH_FILTER)} ORDER BY {NEWEST} LIMIT 500"),
+    "search_live": files(f"SELECT {LIVE} FROM fe WHERE {SEARCH_FILTER} ORDER BY {NEWEST} LIMIT 500"),
     "search_newest": files(f"SELECT {LIVE} FROM fe ORDER BY {NEWEST} LIMIT 500"),
     "search_query": files(
         f"SELECT {LIVE} FROM fe WHERE (level = 'INFO' OR level = 'WARN') AND {has('message', 'value=3')}"
@@ -362,6 +379,15 @@ ORACLES: dict[str, str] = {
         f"SELECT {MS} AS ts, level, message FROM (SELECT en.* FROM en JOIN (SELECT event_id, ts AS logged FROM events)"
         f" USING (event_id) WHERE day(logged) < 8 AND level = 'ERROR') ORDER BY {E_NEWEST} LIMIT 500"
     ),
+    "search_oldest_forward": files(
+        "SELECT service, CAST(file_no AS BIGINT) AS file_no, line_number, file_offset,"
+        " CASE WHEN event_id % 2 = 0 THEN replace(raw_line, chr(10) || chr(9), chr(10) || chr(10) || chr(9))"
+        f" ELSE raw_line END AS raw_line FROM fe WHERE level = 'ERROR' ORDER BY {OLDEST} LIMIT 700"
+    ),
+    "resume_pages": files(
+        f"SELECT {LIVE}, CAST((row_number() OVER (ORDER BY {NEWEST}) - 1) // 300 AS INTEGER) AS page"
+        f" FROM fe QUALIFY page < 4"
+    ),
     "search_table": files(f"SELECT {LIVE} FROM fe WHERE {SEARCH_FILTER} ORDER BY {NEWEST} LIMIT 500"),
     "table_time_range": live(
         "ts IS NULL OR (ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00')"
@@ -377,8 +403,17 @@ ORACLES: dict[str, str] = {
         " CASE WHEN event_id % 3 = 0 THEN props ELSE '' END AS v FROM events))"
     ),
     "csv_export": ev(
-        f"SELECT {CSV_ROW.format(ms=MS)} AS value FROM en UNION ALL SELECT"
-        " 'Timestamp,Level,Service,Logger,Thread,TraceId,SpanId,UserId,SiteId,TenantId,Message,StackTrace'"
+        "SELECT "
+        + ", ".join(
+            f"coalesce({MS if c == 'ts' else c}, '') AS \"{n}\""
+            for n, c in [
+                ("Timestamp", "ts"), ("Level", "level"), ("Service", "service"), ("Logger", "logger"),
+                ("Thread", "thread"), ("TraceId", "trace_id"), ("SpanId", "span_id"), ("UserId", "user_id"),
+                ("SiteId", "site_id"), ("TenantId", "tenant_id"), ("Message", "message"), ("StackTrace", "stack_trace"),
+            ]
+        )
+        + " FROM en UNION ALL SELECT 'Timestamp', 'Level', 'Service', 'Logger', 'Thread', 'TraceId', 'SpanId',"
+        " 'UserId', 'SiteId', 'TenantId', 'Message', 'StackTrace'"
     ),
     "txt_lines": ev("SELECT raw_line AS value FROM en"),
     "txt_export": ev("SELECT raw_line AS value FROM en"),

@@ -129,16 +129,23 @@ def service_status(spark, sf_dir):
     catalog = live_catalog(spark, sf_dir)
     absent = L.Service("absent", catalog[0].log_file + "-absent", "#00ff00")
     status = L.service_status(spark, (*catalog, absent))
-    return status.select(
-        "name", "color", "exists", "size_kb", (F.col("last_modified") != "N/A").alias("has_time")
+    counts = entries(spark, sf_dir).groupBy(F.col("service").alias("name")).agg(F.count("*").alias("n_entries"))
+    return status.join(counts, "name", "left").select(
+        "name", "color", "exists", "size_kb", (F.col("last_modified") != "N/A").alias("has_time"), "n_entries"
     )
 
 
 @query
 def list_rotated(spark, sf_dir):
-    found = L.list_rotated(spark, rotated_catalog(spark, sf_dir), "app")
+    catalog = rotated_catalog(spark, sf_dir)
+    found = L.list_rotated(spark, catalog, "app")
+    lines = L.read_log_lines(spark, [f"{catalog[0].directory}/{name}" for name, _ in X.ROTATED[1:]])
+    log = F.element_at(F.split("file_path", "/"), -2).alias("name")
+    counts = lines.groupBy(log).agg(F.count_if(T.is_new_entry(F.col("value"))).alias("n_entries"))
     instant = F.col("last_modified").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$")
-    return found.select("name", (F.col("size_kb") > 0).alias("has_size"), instant.alias("is_instant"))
+    return found.join(counts, "name", "left").select(
+        "name", (F.col("size_kb") > 0).alias("has_size"), instant.alias("is_instant"), "n_entries"
+    )
 
 
 @query
@@ -324,7 +331,16 @@ _filtered("filter_level", level="error")
 _filtered("filter_trace_ids", trace_ids=["tr12", " "], trace_id="tr7")
 _filtered("filter_span_ids", span_ids=["sp33"], span_id=" sp9 ,")
 _filtered("filter_user", user_id="u1")
-_filtered("filter_user_case", user_id="U1")
+
+
+@query
+def filter_user_case(spark, sf_dir):
+    """A user filter minds the case."""
+    df = entries(spark, sf_dir)
+    found = [L.filter_entries(df, user_id=u).agg(F.lit(u).alias("user_id"), F.count("*").alias("n")) for u in ("U1", "u1")]
+    return reduce(DataFrame.unionByName, found)
+
+
 _filtered("filter_site", site_id="s3")
 _filtered("filter_tenant", tenant_id="t2")
 _filtered("filter_logger", logger="X.SIGN")
@@ -395,14 +411,25 @@ def query_documents(spark, sf_dir):
 # --- order, cap, pages, window -------------------------------------------------------------------
 
 
+def _ends(ordered: DataFrame) -> DataFrame:
+    """Per service and day the first and the last entry as they come out of the sort, so that its order shows."""
+    rows = placed(ordered).withColumn("nth", F.monotonically_increasing_id())
+    groups = rows.groupBy("service", F.left("ts", F.lit(10)).alias("day"))
+    return groups.agg(
+        F.count("*").alias("n"),
+        *[F.min_by(c, "nth").alias(f"first_{c}") for c in ("ts", "file_no", "file_offset")],
+        *[F.max_by(c, "nth").alias(f"last_{c}") for c in ("ts", "file_no", "file_offset")],
+    )
+
+
 @query
 def sort_newest_first(spark, sf_dir):
-    return placed(L.order_entries(live_entries(spark, sf_dir), "desc"))
+    return _ends(L.order_entries(live_entries(spark, sf_dir), "desc"))
 
 
 @query
 def sort_oldest_first(spark, sf_dir):
-    return placed(L.order_entries(live_entries(spark, sf_dir), "asc"))
+    return _ends(L.order_entries(live_entries(spark, sf_dir), "asc"))
 
 
 @query
@@ -437,7 +464,11 @@ def next_page(spark, sf_dir):
 
 @query
 def page_past_end(spark, sf_dir):
-    return brief(L.page(entries(spark, sf_dir), limit=500, start=10**8))
+    df = entries(spark, sf_dir)
+    n = df.count()
+    pages = {"end": n - 7, "past_end": n + 1}
+    counts = [L.page(df, 500, start).agg(F.lit(k).alias("start"), F.count("*").alias("n")) for k, start in pages.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -510,7 +541,6 @@ def search_summary_next(spark, sf_dir):
             limit=50,
             start=50,
             scan_depth=10**9,
-            default_depth=P.MAX_DEPTH,
             service_offsets={},
             from_ts="2000-01-01 00:00:00",
         )
@@ -551,11 +581,30 @@ def search_with_depth(spark, sf_dir):
 @query
 def search_rotated_file(spark, sf_dir):
     result = L.search_file(
-        spark, rotated_catalog(spark, sf_dir), "app", "app-04-20-2026-1.log.gz", level="ERROR"
+        spark, rotated_catalog(spark, sf_dir), "app", "app-week1.log.gz", level="ERROR"
     )
     return result.page.select(T.ts_text(F.col("ts")).alias("ts"), "level", "message")
 
 
+@query
+def search_oldest_forward(spark, sf_dir):
+    """Oldest first as a reader goes through a log: blank lines stay, lines before the first entry go."""
+    how = {"sort_order": "asc", "keep_blank": True, "keep_orphan": False, "level": "ERROR", "limit": 700}
+    page = L.search(spark, live_catalog(spark, sf_dir), **how).page
+    return page.select("service", file_no(), "line_number", "file_offset", "raw_line")
+
+
+@query
+def resume_pages(spark, sf_dir):
+    """Four pages of services with several files, each from the last entry of the one before."""
+    pages, after = [], None
+    for number in range(4):
+        found = L.search(spark, live_catalog(spark, sf_dir), limit=300, after=after).page
+        pages.append(placed(found).withColumn("page", F.lit(number)))
+        after = found.tail(1)[0]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query
 def search_table(spark, sf_dir):
     return placed(L.search_table(L.read_entries(spark, table_path(spark, sf_dir)), **SEARCH).page)
@@ -589,12 +638,14 @@ def csv_field(spark, sf_dir):
 def csv_export(spark, sf_dir):
     path = X.scratch_dir(spark) + "/export"
     L.write_csv(entries(spark, sf_dir), path)
-    # Every record starts with its time, the header with its first name; a quoted field may hold line
-    # ends. The text reader skips the byte-order mark.
-    records = spark.read.option("lineSep", "\n2024-").text(path)
-    record = F.regexp_replace("value", "\n$", "")
-    led = F.startswith(record, F.lit("2024-")) | F.startswith(record, F.lit("Timestamp,"))
-    return records.select(F.when(led, record).otherwise(F.concat(F.lit("2024-"), record)).alias("value"))
+    names = [name for name, _ in P.CSV_COLUMNS]
+    schema = ", ".join(f"{name} string" for name in names)
+    options = {"multiLine": "true", "quote": '"', "escape": '"', "header": "false", "emptyValue": ""}
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    # The header is the one record with a name in place of a level; the byte-order mark goes.
+    return rows.withColumn("Timestamp", F.translate("Timestamp", "\ufeff", "")).select(
+        *[F.coalesce(F.col(name), F.lit("")).alias(name) for name in names]
+    )
 
 
 @query

@@ -132,3 +132,14 @@ def test_shared_and_special_paths(spark, tmp_path):
     assert {r["service"]: r["n"] for r in counts} == {"a": n, "b": n, "c": m}
     assert {r["service"] for r in L.read_services(spark, catalog, ["c", "x"]).select("service").collect()} == {"c"}
     assert L.read_services(spark, catalog, ["x"]).count() == 0
+
+
+def test_an_entry_costs_no_more_than_its_lines(spark, tmp_path):
+    """No window gathers the lines of an entry; one of 40,000 lines comes back whole."""
+    lines = [f"2026-03-10 20:00:00.000 INFO  [] [app,,] [m] a.b : long", *(f"\tat line {i}" for i in range(40_000))]
+    (tmp_path / "long.log").write_text("\n".join(lines) + "\n")
+    blocks = L.assemble_entries(L.read_log_lines(spark, str(tmp_path / "long.log")))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "collect_list" in x]
+    rows = blocks.collect()
+    assert len(rows) == 1 and rows[0]["raw_line"] == "\n".join(lines)

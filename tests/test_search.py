@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import logframe as L
+from logframe.functions import text as X
 from logframe.operators.order import page_size
 from logframe.plans.search import SearchRequest
 from logframe.schema import ENTRY_COLUMNS, ENTRY_SCHEMA
@@ -26,8 +27,8 @@ def log_lines(n, start=START, level=None, every=1):
         ts = (start + timedelta(seconds=i * every)).strftime("%Y-%m-%d %H:%M:%S.") + "000"
         word = level or ("INFO", "ERROR")[i % 2]
         yield (
-            f"{ts} host1 {word} [user{i % 3},site{i % 2},tenant{i % 2}] [app,trace{i:04},span{i:04}]"
-            f" 77 --- [main] a.b.{('Even', 'Odd')[i % 2]} : Message {i}"
+            f"{ts} node7 {word} [acct{i % 5},plant{i % 4},org{i % 4 // 2}] [shop,req{i:04},op{i:04}]"
+            f" 5150 --- [worker] z.q.{('Even', 'Odd')[i % 2]} : finished step {i}"
         )
 
 
@@ -44,12 +45,12 @@ def logs(tmp_path_factory):
     (root / "two" / "web.log").write_text(text(log_lines(60, START + timedelta(minutes=1))))
     (root / "one" / "app.log.1").write_text(text(log_lines(10, level="WARN ")))
     (root / "one" / "app.log.2.gz").write_bytes(gzip.compress(text(log_lines(200)).encode()))
-    (root / "one" / "app-04-20-2026-1.log.gz").write_bytes(gzip.compress(text(log_lines(8)).encode()))
+    (root / "one" / "app-spring.log.gz").write_bytes(gzip.compress(text(log_lines(8)).encode()))
     for name in ("application.yml", "applog.1", "web.log.1", "appx.log"):
         (root / "one" / name).write_text("unrelated\n")
     (root / "one" / "app.d").mkdir()
     (root / "one" / "app.d" / "app.log.9").write_text("nested\n")
-    for age, name in enumerate(("app-04-20-2026-1.log.gz", "app.log.1", "app.log.2.gz")):
+    for age, name in enumerate(("app-spring.log.gz", "app.log.1", "app.log.2.gz")):
         os.utime(root / "one" / name, (1_700_000_000 - age * 1000,) * 2)
     return root
 
@@ -109,23 +110,23 @@ def test_keyset_pages_are_the_offset_pages(spark, catalog):
     [
         ({"level": "error"}, 80),
         ({"level": "INFO"}, 80),
-        ({"trace_id": "trace0007"}, 2),
-        ({"trace_ids": ("trace0007",), "trace_id": "trace0009, trace0099"}, 5),
-        ({"span_id": "span00"}, 80),
-        ({"user_id": "user1"}, 27),
-        ({"user_id": "USER1"}, 0),
-        ({"query": "user:USER1"}, 27),
-        ({"site_id": "site1", "tenant_id": "tenant1"}, 80),
+        ({"trace_id": "req0007"}, 2),
+        ({"trace_ids": ("req0007",), "trace_id": "req0009, req0099"}, 5),
+        ({"span_id": "op00"}, 80),
+        ({"user_id": "acct1"}, 16),
+        ({"user_id": "ACCT1"}, 0),
+        ({"query": "user:ACCT1"}, 16),
+        ({"site_id": "plant1", "tenant_id": "org0"}, 40),
         ({"logger": "odd"}, 80),
-        ({"message": "MESSAGE 9"}, 11 + 1),
+        ({"message": "STEP 9"}, 11 + 1),
         ({"services": ("web",)}, 60),
         ({"services": ("web", "nope")}, 60),
         ({"services": ("nope",)}, 0),
         ({"from_ts": "2026-03-10 20:01:30"}, 10 + 30 + 1),
         ({"to_ts": "2026-03-10 20:00:09"}, 10 + 1),
         ({"from_ts": datetime(2026, 3, 10, 20, 0, 5), "to_ts": datetime(2026, 3, 10, 20, 0, 5)}, 2),
-        ({"query": "level:ERROR AND \"message 9\""}, 7),
-        ({"query": "NOT trace:trace"}, 81),
+        ({"query": "level:ERROR AND \"step 9\""}, 7),
+        ({"query": "NOT trace:req"}, 81),
         ({"level": "ERROR", "query": "message:\"5"}, 0),
     ],
 )
@@ -139,7 +140,7 @@ def test_filters(spark, catalog, request_, count):
 @pytest.mark.parametrize("order", ["desc", "asc"])
 def test_cap_keeps_untimed_entries_in_live_search(spark, catalog, order, bounded):
     view = L.search(spark, catalog, cap=10, sort_order=order, bounded=bounded).view.collect()
-    assert len(view) == 10 and sum(r["ts"] is None for r in view) == 1
+    assert len(view) == 11 and sum(r["ts"] is None for r in view) == 1
     df = L.read_services(spark, catalog)
     cut = L.cap_entries(df, order, 10, keep_null_ts=False, bounded=bounded).collect()
     assert len(cut) == 10 and all(r["ts"] is not None for r in cut)
@@ -161,18 +162,28 @@ def test_cap_against_plain_sort(spark, seed):
         for order, sign in (("desc", -1), ("asc", 1)):
             keyed = sorted((r for r in rows if r[0]), key=lambda r: (sign * (r[0] - START).total_seconds(), r[1]))
             untimed = [r for r in rows if r[0] is None]
-            for keep, expected in ((True, untimed + keyed), (False, keyed + untimed)):
+            for keep, expected in ((True, keyed[:k] + untimed), (False, (keyed + untimed)[:k])):
                 got = L.cap_entries(df, order, k, keep_null_ts=keep).select("file_offset").collect()
-                assert sorted(r[0] for r in got) == sorted(r[1] for r in expected[:k])
+                assert sorted(r[0] for r in got) == sorted(r[1] for r in expected)
+
+
+def test_untimed_entries_never_push_out_timed_ones(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    for i in range(12):
+        lines = text(log_lines(1, START + timedelta(minutes=i)))
+        (tmp_path / "log" / f"part-{i:03}.log").write_text("banner\n" + lines)
+    catalog = L.service_catalog([("s", str(tmp_path / "log"))])
+    for bounded in (True, False):
+        found = L.search(spark, catalog, cap=10, bounded=bounded).view.collect()
+        assert sum(r["ts"] is not None for r in found) == 10 and sum(r["ts"] is None for r in found) == 12
+    assert L.search(spark, catalog, limit=0).page.count() == 24
 
 
 def test_query_before_or_after_the_cap(spark, catalog):
-    deep = {"query": "level:ERROR", "cap": 20}
-    assert L.search(spark, catalog, **deep).view.count() == 20
-    shallow = L.search(spark, catalog, scan_depth=100, default_depth=100, **deep)
-    assert not shallow.request.deep and shallow.view.count() == 10
-    deeper = L.search(spark, catalog, scan_depth=101, default_depth=100, **deep)
-    assert deeper.request.deep and deeper.view.count() == 20
+    assert L.search(spark, catalog, query="level:ERROR", cap=20).view.count() == 20
+    assert L.search(spark, catalog, query="level:ERROR", cap=20, scan_depth=1000).view.count() == 20
+    behind = L.filter_query(L.cap_entries(L.read_services(spark, catalog), "desc", 20), "level:ERROR")
+    assert behind.count() == 10
 
 
 def test_summary(spark, catalog):
@@ -183,15 +194,18 @@ def test_summary(spark, catalog):
     assert L.search(spark, catalog, limit=30).summary().first()["has_more"] is True
 
 
-def test_page_size():
-    assert [page_size(n) for n in (None, 0, -1, 7, 50_000, 60_000)] == [50_000, 50_000, 50_000, 7, 50_000, 50_000]
-    assert [L.scan_depth(n) for n in (None, 0, 5, 10**8)] == [100_000, 100_000, 5, 10_000_000]
+def test_summary_counts_in_one_aggregate(spark, catalog):
+    found = L.search(spark, catalog, query="level:ERROR", cap=30)
+    row = found.summary().first()
+    assert row["total_matched"] == 30 == found.view.count() and row["filtered_by_structured"] == 161
+    plan = found.summary()._jdf.queryExecution().analyzed().toString()
+    assert plan.count("count_if") + plan.count("countif") >= 2
 
 
-def test_request_depth():
-    assert SearchRequest().deep and SearchRequest().depth is None
-    assert not SearchRequest(scan_depth=100_000).deep and SearchRequest(scan_depth=100_001).deep
-    assert SearchRequest(scan_depth=10**9).depth == 10_000_000
+def test_nothing_is_cut_unless_asked_for():
+    assert [page_size(n) for n in (None, 0, -1, 7, 60_000)] == [None, None, None, 7, 60_000]
+    assert [L.scan_depth(n) for n in (None, 0, 5, 10**9)] == [None, None, 5, 10**9]
+    assert SearchRequest().depth is None and SearchRequest().cap is None
     assert not SearchRequest(from_ts="2026-01-01").filtered and SearchRequest(query="x").filtered
 
 
@@ -241,6 +255,36 @@ def test_resume_serves_every_entry_once(spark, catalog):
         assert seen == sorted(seen, reverse=order == "desc")
 
 
+@pytest.fixture(scope="module")
+def several_files(tmp_path_factory):
+    """Two services of three files each, whose times overlap."""
+    root = tmp_path_factory.mktemp("several")
+    for k, service in enumerate(("red", "blue")):
+        (root / service).mkdir()
+        for i in range(3):
+            start = START + timedelta(seconds=40 * i + k)
+            (root / service / f"part-{i}.log").write_text("banner\n" + text(log_lines(60, start)))
+    return L.service_catalog([(s, str(root / s)) for s in ("red", "blue")])
+
+
+@pytest.mark.parametrize("order", ["desc", "asc"])
+def test_pages_behind_the_last_entry_are_the_view(spark, several_files, order):
+    key = lambda r: (r["file_path"], r["file_offset"])
+    seen, after = [], None
+    while True:
+        rows = L.search(spark, several_files, limit=100, sort_order=order, after=after).page.collect()
+        if not rows:
+            break
+        seen += map(key, rows)
+        after = rows[-1]
+    assert len(seen) == 366 and seen == [key(r) for r in L.search(spark, several_files, limit=0, sort_order=order).page.collect()]
+
+
+def test_a_byte_cursor_of_several_files_is_refused(spark, several_files):
+    with pytest.raises(ValueError, match="several files"):
+        L.search(spark, several_files, service_offsets={"red": 500})
+
+
 def test_service_cursor_beats_the_global_one(spark, catalog):
     df = L.read_services(spark, catalog)
     got = L.resume(df, {"app": 500}, "desc", default=0).groupBy("service").agg(F.max("file_offset")).collect()
@@ -252,7 +296,7 @@ def test_service_cursor_beats_the_global_one(spark, catalog):
 
 def test_list_rotated(spark, catalog):
     rows = L.list_rotated(spark, catalog, "app").collect()
-    assert [r["name"] for r in rows] == ["app-04-20-2026-1.log.gz", "app.log.1", "app.log.2.gz"]
+    assert [r["name"] for r in rows] == ["app-spring.log.gz", "app.log.1", "app.log.2.gz"]
     assert all(r["size_kb"] >= 1 for r in rows)
     assert rows[0]["last_modified"] == "2023-11-14T22:13:20Z"
     assert L.list_rotated(spark, catalog, "unknown").count() == 0
@@ -261,7 +305,7 @@ def test_list_rotated(spark, catalog):
 
 
 @pytest.mark.parametrize(
-    "name, count", [("app.log.1", 10), ("app.log.2.gz", 200), ("app-04-20-2026-1.log.gz", 8)]
+    "name, count", [("app.log.1", 10), ("app.log.2.gz", 200), ("app-spring.log.gz", 8)]
 )
 def test_search_file(spark, catalog, name, count):
     rows = L.search_file(spark, catalog, "app", name).page.collect()
@@ -308,6 +352,20 @@ def test_read_catalog(spark, tmp_path):
     ]
 
 
+def test_a_damaged_log_fails_unless_asked(spark, tmp_path):
+    whole = gzip.compress(text(log_lines(3000)).encode())
+    (tmp_path / "half.log.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "whole.log.gz").write_bytes(whole + gzip.compress(text(log_lines(5)).encode()))
+    catalog = L.service_catalog([("h", str(tmp_path / "half.log.gz")), ("w", str(tmp_path / "whole.log.gz"))])
+    assert L.read_services(spark, catalog, ["w"]).count() == 3005
+    with pytest.raises(Exception, match="half.log.gz|end of input|EOF|Unexpected end"):
+        L.read_services(spark, catalog).count()
+    n = L.read_services(spark, catalog, ["h"], skip_damaged=True).count()
+    assert 0 < n < 3000
+    named = [r[0] for r in L.damaged_files(spark, str(tmp_path)).collect()]
+    assert [os.path.basename(p) for p in named] == ["half.log.gz"]
+
+
 # --- presets and table ---------------------------------------------------------------------------
 
 
@@ -321,6 +379,8 @@ def test_table(spark, catalog, tmp_path, capsys):
     path = str(tmp_path / "entries")
     entries = L.read_services(spark, catalog)
     L.write_entries(entries, path)
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        L.write_entries(entries, path)
     table = L.read_entries(spark, path)
     columns = [c for c in ENTRY_COLUMNS if c != "service"]
     assert table.select("service", *columns).exceptAll(entries.select("service", *columns)).count() == 0
@@ -360,11 +420,17 @@ def test_write_csv(spark, tmp_path):
         '2026-03-10 20:00:00.000,INFO,s,,t,,,,,,\t=1+1,"x\ny"\n'
         ',INFO,s,,,,,,,,"\t-x\ry",\n'
     )
-    for single in (True, False):
-        path = f"{tmp_path}/csv{single}"
-        L.write_csv(exported(spark), path, single_file=single)
-        assert parts(path).decode() == expected
-    assert len(glob.glob(f"{tmp_path}/csvTrue/part-*")) == 1
+    path = f"{tmp_path}/csv"
+    L.write_csv(exported(spark), path)
+    assert parts(path).decode() == expected
+
+
+def test_rebuilt_text_has_nanoseconds(spark):
+    row = spark.range(1).select(
+        F.lit("2026-03-10 20:00:01.123456").cast("timestamp_ntz").alias("a"), F.lit("2026-03-10 20:00:00").cast("timestamp_ntz").alias("b")
+    )
+    texts = row.select(X.iso_text(F.col("a"), F.lit(7)), X.iso_text(F.col("b"), F.lit(89)), X.iso_text(F.col("b"), F.lit(0))).first()
+    assert tuple(texts) == ("2026-03-10T20:00:01.123456007", "2026-03-10T20:00:00.000000089", "2026-03-10T20:00")
 
 
 def test_write_txt(spark, tmp_path):
