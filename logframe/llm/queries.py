@@ -20,7 +20,24 @@ from logframe.llm.warc_archive import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+
+#: Base32 five bits at a time: four digits from every five hex digits.
+_DIGIT = "1 + CAST(('0x' || hex[5 * (i // 4) + 1 : 5 * (i // 4) + 5]) AS BIGINT) // (32768 >> (5 * (i % 4))) % 32"
+
+ORACLES: dict[str, str] = {
+    "op5_warc_archive": f"""WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, payload, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[{_DIGIT} : {_DIGIT}]), '')
+      AS payload_digest
+  FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+}
 
 
 def query(fn: Query) -> Query:
