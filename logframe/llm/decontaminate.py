@@ -36,18 +36,24 @@ def tokens(text: Column, values: bool = False, names: bool = True) -> Column:
     named = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;]\x20)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", kept(NAME, "$0")) if names else clean
     united = F.regexp_replace(named, rf"(?<=\p{{N}})\x20?({UNITS})(?![\p{{L}}\p{{N}}])", kept(UNIT, "$1"))
     numbered = F.regexp_replace(united, r"\p{N}+", kept(NUMBER, "$0"))
-    spaced = F.trim(F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    spaced = F.regexp_replace(F.lower(numbered), rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{UNIT}]+", " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of a power of two of tokens, each made of two of half the size."""
-    hashes, reach = F.transform(words, lambda t: F.xxhash64(t)), 1
+def _with_windows(rows: DataFrame, size: int) -> DataFrame:
+    """Replaces ``words`` by ``hashes`` of all windows of a power of two of tokens, each made of two of half the size.
+
+    Every step is a projection of its own: as one expression, each would be evaluated as often as the next names it.
+    For the same reason the results are exploded with posexplode_outer: for posexplode Spark would put a test of the
+    array's size below all of these projections, written out in full.
+    """
+    rows, reach = rows.withColumn("hashes", F.transform("words", lambda t: F.xxhash64(t))), 1
     while reach < size:
-        later = F.slice(hashes, F.lit(reach + 1), F.greatest(F.size(hashes) - reach, F.lit(0)))
-        shorter = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - reach, F.lit(0)))
-        hashes, reach = F.zip_with(shorter, later, lambda a, b: F.xxhash64(a, b)), 2 * reach
-    return hashes
+        later = F.slice("hashes", reach + 1, 2**30)
+        rows = rows.withColumn("hashes", F.zip_with("hashes", later, lambda a, b: F.xxhash64(a, b)))
+        reach *= 2
+    whole = F.slice("hashes", F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(0)))
+    return rows.withColumn("hashes", whole)
 
 
 def item_windows(items: DataFrame, size: int, shorter_than: int | None = None) -> DataFrame:
@@ -60,7 +66,7 @@ def item_windows(items: DataFrame, size: int, shorter_than: int | None = None) -
         words = items.select("item_id", tokens(F.col("text"), names=names).alias("words"))
         words = words.filter((F.size("words") >= size) & (F.size("words") < (shorter_than or 2**31 - 1)))
         literal = lambda i: F.size(F.filter(F.slice("words", i + 1, size), lambda t: ~t.rlike(f"^[{NUMBER}-{UNIT}]")))
-        hashes = words.select("item_id", "words", F.posexplode(_windows(F.col("words"), size)).alias("at", "hash"))
+        hashes = _with_windows(words, size).select("item_id", "words", F.posexplode_outer("hashes").alias("at", "hash"))
         readings.append(hashes.filter(literal(F.col("at")) >= LITERAL * size).select("item_id", "at", "hash"))
     first = reduce(DataFrame.unionByName, readings).groupBy("item_id", "hash").agg(F.min("at").cast("int").alias("at"))
     count = first.groupBy("item_id").agg(F.count_distinct("at").alias("n"))
@@ -69,7 +75,8 @@ def item_windows(items: DataFrame, size: int, shorter_than: int | None = None) -
 
 def _matches(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """doc_id, key, item_id, n, shift and the matched windows of the item, for each alignment of a document and an item."""
-    exploded = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_windows(tokens(F.col("text")), size)).alias("place", "hash"))
+    rows = _with_windows(docs.select("doc_id", F.xxhash64("text").alias("key"), tokens(F.col("text")).alias("words")), size)
+    exploded = rows.select("doc_id", "key", F.posexplode_outer("hashes").alias("place", "hash"))
     side = F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows
     found = exploded.join(side, "hash")
     group = found.groupBy("doc_id", "key", "item_id", "n", (F.col("place") - F.col("at")).alias("shift"))
@@ -79,14 +86,14 @@ def _matches(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
 def _agreeing(docs: DataFrame, items: DataFrame, matches: DataFrame, size: int) -> DataFrame:
     """Matches whose slots agree, with the number of slots and of those with another value."""
     marked = rf"^[{NUMBER}-{UNIT}]"
-    words = items.select("item_id", F.posexplode(tokens(F.col("text"), values=True)).alias("slot", "value"))
+    words = items.select("item_id", F.posexplode_outer(tokens(F.col("text"), values=True)).alias("slot", "value"))
     slots = words.filter(F.col("value").rlike(marked))
     reach = F.sequence(F.greatest(F.col("slot") - size + 1, F.lit(0)), F.col("slot"))
     wanted = matches.join(slots, "item_id").filter(F.arrays_overlap("ats", reach))
     places = wanted.select("match_no", F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), "value", (F.col("slot") + F.col("shift")).alias("place"))
     held = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), "text")
     held = held.join(places.select(F.col("p_key").alias("k")).distinct(), "k", "left_semi")
-    held = held.select("d", "k", F.posexplode(tokens(F.col("text"), values=True)).alias("p", "other"))
+    held = held.select("d", "k", F.posexplode_outer(tokens(F.col("text"), values=True)).alias("p", "other"))
     held = held.filter(F.col("other").rlike(marked)).distinct()
     same = F.col("p_id").eqNullSafe(F.col("d")) & (F.col("p_key") == F.col("k")) & (F.col("place") == F.col("p"))
     pairs = places.join(held, same).groupBy("match_no", "value")
