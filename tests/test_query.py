@@ -25,16 +25,16 @@ def matches(spark, text, **fields):
 @pytest.mark.parametrize(
     "text, fields, expected",
     [
-        ("hello", {"message": "say hello world"}, True),
-        ("HELLO", {"message": "say hello world"}, True),
-        ("hello", {"raw_line": "x Hello"}, True),
-        ('"hello world"', {"message": "say hello world"}, True),
-        ('"hello world"', {"message": "hello brave world"}, False),
-        ('"hello world', {"message": "say hello world"}, True),
+        ("pear", {"message": "say pear tart"}, True),
+        ("PEAR", {"message": "say pear tart"}, True),
+        ("pear", {"raw_line": "x Pear"}, True),
+        ('"pear tart"', {"message": "say pear tart"}, True),
+        ('"pear tart"', {"message": "pear brave tart"}, False),
+        ('"pear tart', {"message": "say pear tart"}, True),
         ("level:error", {"level": "ERROR"}, True),
         ("level:ERR", {"level": "ERROR"}, False),
-        ("user:admin", {"user_id": "SuperAdmin"}, True),
-        ("userId:admin", {"user_id": "superadmin"}, True),
+        ("user:clerk", {"user_id": "HeadClerk"}, True),
+        ("userId:clerk", {"user_id": "headclerk"}, True),
         ("trace:abc", {"trace_id": "xABCy"}, True),
         ("spanId:abc", {"span_id": "xabcy"}, True),
         ("class:cart", {"logger": "a.b.Cart"}, True),
@@ -42,20 +42,20 @@ def matches(spark, text, **fields):
         ("service:VC", {}, True),
         ("msg:two", {"message": "one Two"}, True),
         ("foo:two", {"message": "one Two"}, True),
-        ("12:30:00", {"message": "at 30:00"}, True),
-        ("12:30:00", {"message": "at 12:30"}, False),
+        ("07:45:00", {"message": "at 45:00"}, True),
+        ("07:45:00", {"message": "at 07:45"}, False),
         ("level:", {"level": "INFO"}, True),
         (":x", {"message": "a :x b"}, True),
         ('message:"two words"', {"message": 'a "two b'}, True),
         ('message:"two words"', {"message": "two words"}, False),
         ('"message:two words"', {"message": "two words"}, True),
-        ("level:ERROR AND timeout", {"level": "ERROR", "message": "a timeout"}, True),
-        ("level:ERROR AND timeout", {"level": "INFO", "message": "a timeout"}, False),
+        ("level:ERROR AND refused", {"level": "ERROR", "message": "a refused"}, True),
+        ("level:ERROR AND refused", {"level": "INFO", "message": "a refused"}, False),
         ("level:ERROR or level:WARN", {"level": "WARN"}, True),
         ("NOT level:DEBUG", {"level": "DEBUG"}, False),
         ("NOT user:x", {"user_id": None}, True),
         ("NOT NOT user:x", {"user_id": None}, False),
-        ("(level:ERROR OR level:WARN) AND timeout", {"level": "INFO", "message": "timeout"}, False),
+        ("(level:ERROR OR level:WARN) AND refused", {"level": "INFO", "message": "refused"}, False),
         ("a OR b AND c", {"message": "a"}, False),
         ("a OR b AND c", {"message": "bc"}, True),
         ("a AND b OR c", {"message": "c"}, True),
@@ -64,9 +64,9 @@ def matches(spark, text, **fields):
         ("((((((gone))))))", {"message": "term"}, False),
         ("((term", {"message": "term"}, True),
         ("term) AND gone", {"message": "term"}, True),
-        ("error timeout", {"message": "error"}, True),
-        ("error timeout OR x", {"message": "timeout"}, False),
-        ("(error timeout) AND gone", {"message": "error"}, True),
+        ("error refused", {"message": "error"}, True),
+        ("error refused OR x", {"message": "refused"}, False),
+        ("(error refused) AND gone", {"message": "error"}, True),
         ("a NOT b", {"message": "a b"}, True),
         ("AND OR NOT ()", {"message": "any"}, True),
         ("error AND", {"message": "error"}, True),
