@@ -212,7 +212,7 @@ ORACLES: dict[str, str] = {
         "SELECT service AS name, '#1a6fa3' AS color, true AS \"exists\","
         " CAST(sum(n_bytes) // 1024 AS BIGINT) AS size_kb, true AS has_time, count(event_id) AS n_entries"
         " FROM fe GROUP BY service"
-        " UNION ALL SELECT 'absent', '#00ff00', false, 0, false, NULL"
+        " UNION ALL SELECT 'absent', '#00ff00', false, 0, false, 0"
     ),
     "list_rotated": ev(
         f"SELECT {ROTATED_NAME} AS name, true AS has_size, true AS is_instant, count(*) AS n_entries"

@@ -131,7 +131,12 @@ def service_status(spark, sf_dir):
     status = L.service_status(spark, (*catalog, absent))
     counts = entries(spark, sf_dir).groupBy(F.col("service").alias("name")).agg(F.count("*").alias("n_entries"))
     return status.join(counts, "name", "left").select(
-        "name", "color", "exists", "size_kb", (F.col("last_modified") != "N/A").alias("has_time"), "n_entries"
+        "name",
+        "color",
+        "exists",
+        "size_kb",
+        (F.col("last_modified") != "N/A").alias("has_time"),
+        F.coalesce("n_entries", F.lit(0)).alias("n_entries"),
     )
 
 
