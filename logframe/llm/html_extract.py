@@ -31,9 +31,10 @@ SALTS = 16
 #: The longest group, in tokens, that is looked for repeated.
 LONGEST_GROUP = 24
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|audio|video|canvas"
+#: Elements whose content is no markup. One that closes itself, as in svg, has none; a longer name is another element.
+_RAW = "script|style|textarea|title"
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
+    rf"""<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?!/>)(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<![\s"']/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -43,8 +44,11 @@ _VOID = frozenset("area base col embed hr input link meta param source track".sp
 #: An element that starts ends an open one of these, unless one of the second kind lies between.
 _ENDS = {"p": ({"p"}, set()), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, set())}
 _NOT_IN_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements in the middle of text whose content is none of it. They do not part a paragraph, and one that is never closed
+#: holds nothing.
+_EMBEDDED = frozenset("noscript template iframe svg math select object audio video canvas".split())
 #: Elements, and words in class, id or role, of what is not main text.
-_SIDE_TAGS = frozenset("nav footer aside form button fieldset menu dialog head".split())
+_SIDE_TAGS = _EMBEDDED | frozenset("nav footer aside form button fieldset menu dialog head option optgroup".split())
 _SIDE_WORDS = re.compile(
     r"(?:^|[\s_.#-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|contentinfo|cookies?|discussion|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_.#-])",
     re.I,
@@ -66,6 +70,8 @@ def tokenize(html: str) -> list[Token]:
     run: list[str] = []
     open_: list[tuple[str, str]] = []
     path: tuple[str, ...] = ()
+    #: For each open embedded element its depth, its first token, and the run that it stands in.
+    embedded: list[tuple[int, int, list[str]]] = []
 
     def text() -> None:
         joined = _SPACE.sub(" ", "".join(run)).strip()
@@ -73,12 +79,22 @@ def tokenize(html: str) -> list[Token]:
         if joined:
             out.append(("#", joined, path))
 
-    def close(at: int) -> None:
+    def close(at: int, named: bool = False) -> None:
         nonlocal path
-        for tag, _ in reversed(open_[at:]):
-            out.append(("</" + tag, "", path))
-        del open_[at:]
-        path = tuple(s for _, s in open_)
+        while len(open_) > at:
+            tag = open_[-1][0]
+            if embedded and embedded[-1][0] == len(open_) - 1:
+                depth, first, around = embedded.pop()
+                if named and depth == at:
+                    out.append(("</" + tag, "", path))
+                    run[:] = around
+                else:  # never closed: what follows it belongs to what it stands in
+                    before = _SPACE.sub(" ", "".join(around)).strip()
+                    out[first:] = [*([("#", before, path[:depth])] if before else []), *((s, t, p[:depth] + p[depth + 1 :]) for s, t, p in out[first + 1 :])]
+            else:
+                out.append(("</" + tag, "", path))
+            open_.pop()
+            path = tuple(s for _, s in open_)
 
     last = 0
     for m in _TOKEN.finditer(html):
@@ -90,15 +106,29 @@ def tokenize(html: str) -> list[Token]:
         if tag == "br":
             run.append(" ")
             continue
+        if tag in _EMBEDDED:
+            if m[4].rstrip().endswith("/"):
+                continue
+            if not m[2]:
+                around = list(run)
+                run.clear()
+                embedded.append((len(open_), len(out), around))
+                sign = _sign(tag, m[4])
+                out.append((sign, "", path))
+                open_.append((tag, sign))
+                path = (*path, sign)
+                continue
+            if not any(t == tag for t, _ in open_):
+                continue
         text()
         if m[2]:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
             if at is not None:
-                close(at)
+                close(at, named=True)
             continue
         ends, within = _ENDS.get(tag, (set(), set()))
         if tag in _NOT_IN_P:
-            ends = ends | {"p"}
+            ends = ends | {"p", "option", "optgroup"}
         for i in range(len(open_) - 1, -1, -1):
             if open_[i][0] in within or open_[i][0] not in ends | {"li", "dd", "dt", "tr", "td", "th", "p"}:
                 break

@@ -237,6 +237,24 @@ def test_single_pages(html, text):
     assert H.main_text(html, None) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>a</p><svg class="i"/><p>b</p><p>c</p></article>', "a\nb\nc"),
+        ("<article><p>a</p><video-player src=x></video-player><p>b</p></article>", "a\nb"),
+        ("<article><p>a <svg><title>t</title><text>no</text></svg>b</p><p>c</p></article>", "a b\nc"),
+        ("<article><p>a</p><select><option>no<p>b</p><p>c</p></article><p>d</p>", "a\nb\nc"),
+        ("<article>x <video>b<p>c</p></article>", "x\nb\nc"),
+        ("<article><p>a</p><svg><title/><style/></svg><noscript><p>no</p></noscript><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><script>'<p>no'</script ><textarea>no<p></textarea><p>b</p></article>", "a\nb"),
+        ("<article><p>a<svg/>b</svg></p></article>", "ab"),
+    ],
+)
+def test_embedded_elements_hide_their_own_content_only(html, text):
+    assert H.main_text(html, H.infer([html])) == text
+    assert H.main_text(html, None) == text
+
+
 def hostile_pages(spark):
     body = "<article><p>text</p></article>"
     rows = [
