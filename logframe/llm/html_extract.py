@@ -5,26 +5,33 @@ repeated groups. A host's wrapper starts as one page's stream and is aligned wit
 that only one side has become optional groups, a group that is repeated on one side becomes repeated in the wrapper,
 text runs become slots. So a wrapper consists of tags, slots, optional groups and repeated groups, without alternatives.
 
-Each slot is then told to be main text or not, by what it lies in and by how its text varies over the sample. Pages are
-read by following their host's wrapper; what deviates from it is judged by the elements that it lies in.
+A wrapper holds all pages of its host: equal streams are one, and distinct streams are aligned in a tree of merges.
+Beside it stand the texts that are constant, which are the same at one place of almost all distinct pages, and how much
+other text each element holds. A block is main text if it is not constant and lies in nothing beside the text; blocks that
+deviate from the wrapper are judged in the same way by the elements that they lie in.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logframe.llm.common import written
 
-#: A wrapper is inferred from at most so many pages of its host, those with the smallest hashes.
-SAMPLE = 16
+#: Streams or wrappers of a host that one step of the tree merges, on the average.
+FAN = 16
+#: A text is constant if it stands at one place of so many distinct pages, and of that share of those that have the place.
+CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
 #: Wrappers of up to so many bytes in all are broadcast; beyond, pages are joined with them by host and salt.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
@@ -145,7 +152,8 @@ def tokenize(html: str) -> list[Token]:
     return out
 
 
-# A wrapper node: ["t", sign], ["x", path, main], ["o", nodes] or ["r", nodes]
+# A wrapper node: ["t", sign], ["x", path, main], ["o", nodes] or ["r", nodes]; at its end ["c", constant texts] and
+# ["w", [element, size of its other text]...], by their hashes
 
 
 def _key(node: list) -> str:
@@ -209,42 +217,72 @@ def stream(tokens: list[Token]) -> list:
     return fold([["x", list(path), 0] if sign == "#" else ["t", sign] for sign, _, path in tokens])
 
 
+def _repeated(a: list, b: list) -> list:
+    """Nodes of a where a repeated group of b stands once."""
+    groups: dict[str, list[list[str]]] = {}
+    for g in b:
+        if g[0] == "r":
+            keys = [_key(n) for n in g[1]]
+            if keys not in groups.setdefault(keys[0], []):
+                groups[keys[0]].append(keys)
+    if not groups:
+        return a
+    own = [_key(n) for n in a]
+    out, i = [], 0
+    while i < len(a):
+        size = next((len(g) for g in groups.get(own[i], []) if own[i : i + len(g)] == g), 0)
+        out.append(["r", a[i : i + size]] if size else a[i])
+        i += size or 1
+    return out
+
+
+def accepts(wrapper: list, page: list) -> bool:
+    """Whether a stream is one of the wrapper's, as far as one reading from left to right tells."""
+    keys, at = [_key(n) for n in page], 0
+    for n in wrapper:
+        if n[0] == "o":
+            own = [_key(x) for x in n[1]]
+            if keys[at : at + len(own)] == own:
+                at += len(own)
+        elif at < len(keys) and keys[at] == _key(n):
+            at += 1
+        else:
+            return False
+    return at == len(keys)
+
+
 def unify(wrapper: list, page: list) -> list:
     """The wrapper of both: common nodes stay, a group that is repeated on one side is repeated, the rest is optional."""
-
-    def repeated(a: list, b: list) -> list:
-        """Nodes of a where a repeated group of b stands once."""
-        groups = {json.dumps([_key(n) for n in g[1]]): g for g in b if g[0] == "r"}
-        out, i = [], 0
-        while i < len(a):
-            for g in groups.values():
-                if len(g[1]) <= len(a) - i and [_key(n) for n in a[i : i + len(g[1])]] == [_key(n) for n in g[1]]:
-                    out.append(["r", a[i : i + len(g[1])]])
-                    i += len(g[1])
-                    break
-            else:
-                out.append(a[i])
-                i += 1
-        return out
-
-    bare = lambda n: n[1] if n[0] == "o" else [n]
-    optional = {id(x) for n in wrapper if n[0] == "o" for x in n[1]}
-    flat = [x for n in wrapper for x in bare(n)]
-    flat2 = repeated(flat, page)
-    page = repeated(page, flat)
-    a, b = [_key(n) for n in flat2], [_key(n) for n in page]
+    bare = lambda nodes: [x for n in nodes for x in (n[1] if n[0] == "o" else [n])]
+    optional = {id(x) for n in (*wrapper, *page) if n[0] == "o" for x in n[1]}
+    flat, flat2 = bare(wrapper), bare(page)
+    flat, flat2 = _repeated(flat, flat2), _repeated(flat2, flat)
+    for n in (*flat, *flat2):
+        if n[0] == "r" and n[1] and all(id(x) in optional for x in n[1]):
+            optional.add(id(n))
+    a, b = [_key(n) for n in flat], [_key(n) for n in flat2]
     out: list = []
     for kind, a1, a2, b1, b2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [["o", [n]] if id(n) in optional else n for n in flat2[a1:a2]]
+            out += [["o", [n]] if id(n) in optional or id(m) in optional else n for n, m in zip(flat[a1:a2], flat2[b1:b2])]
             continue
-        for part in (flat2[a1:a2], page[b1:b2]):
+        for part in (flat[a1:a2], flat2[b1:b2]):
             if part:
                 out.append(["o", part])
     return out
 
 
-def _side(path: tuple[str, ...] | list[str]) -> bool:
+def merge(streams: list[list]) -> list:
+    """The wrapper of some streams or wrappers of one host."""
+    wrapper = streams[0]
+    for s in streams[1:]:
+        if not accepts(wrapper, s):
+            wrapper = unify(wrapper, s)
+    return wrapper
+
+
+@lru_cache(100_000)
+def _side(path: tuple[str, ...]) -> bool:
     """Whether an element on the path is none of main text. A header inside an article belongs to it."""
     inside = False
     for sign in path:
@@ -273,45 +311,52 @@ def _slots(nodes: list) -> Iterator[list]:
             yield from _slots(n[1])
 
 
-def judge(wrapper: list, pages: list[list[Token]]) -> list:
-    """Mark the wrapper's slots that hold main text.
+def _number(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    With an article or main element: what lies in it and in nothing beside the text. Without: what lies in the element
-    with most text that is not the same on all pages of the sample, again without what is beside the text.
-    """
-    own = list(_slots(wrapper))
-    for tag in _MAIN_TAGS:
-        if any(_within(s[1], tag) and not _side(s[1]) for s in own):
-            for s in own:
-                s[2] = int(_within(s[1], tag) and not _side(s[1]))
-            return wrapper
-    seen: dict[tuple[str, ...], dict[str, int]] = {}
-    for page in pages:
-        for text, path in {(t, p) for sign, t, p in page if sign == "#" and not _side(p)}:
-            texts = seen.setdefault(path, {})
-            texts[text] = texts.get(text, 0) + 1
-    weight: dict[tuple[str, ...], int] = {}
-    for path, texts in seen.items():
-        size = sum(len(t) for t, n in texts.items() if n < max(2, len(pages)))
-        for depth in range(max(1, len(path) - 1), len(path)):
-            weight[path[:depth]] = weight.get(path[:depth], 0) + size
-        weight.setdefault(path[: max(0, len(path) - 1)], size)
-    best = max(sorted(weight, key=len), key=lambda p: weight[p], default=())
-    same = {p: all(n >= max(2, len(pages)) for n in texts.values()) for p, texts in seen.items()}
-    for s in own:
-        path = tuple(s[1])
-        s[2] = int(path[: len(best)] == best and not _side(path) and not (len(pages) > 2 and same.get(path, False)))
-    return wrapper
+
+def _main_tag(tokens: list[Token]) -> str | None:
+    return next((t for t in _MAIN_TAGS if any(s == "#" and _within(p, t) and not _side(p) for s, _, p in tokens)), None)
+
+
+#: A block that is not beside the text: where it stands, the element that it lies in (none on pages with an article or main
+#: element), place and text, length, and its page. All but the length are hashes.
+_FACTS = ["slot", "element", "block", "size", "page"]
+
+
+def facts(tokens: list[Token]) -> list[tuple[int, int | None, int, int, int]]:
+    """A page's distinct blocks."""
+    found = sorted({(p, t) for s, t, p in tokens if s == "#" and not _side(p)})
+    blocks = [_number(*p, t) for p, t in found]
+    page, tagged = uuid.uuid4().int >> 65, _main_tag(tokens) is not None
+    return [(_number(*p), None if tagged else _number(*p[:-1]), block, len(t), page) for (p, t), block in zip(found, blocks)]
+
+
+def judge(wrapper: list, constant: list[int], weights: list[list[int]]) -> list:
+    """Mark the wrapper's slots that do not lie beside the text, and add what was learned of the host's blocks."""
+    for s in _slots(wrapper):
+        s[2] = int(not _side(tuple(s[1])))
+    return [*wrapper, ["c", sorted(constant)], ["w", sorted(weights)]]
 
 
 def infer(pages: list[str]) -> list:
-    """The wrapper of a host from some of its pages, in their order."""
+    """The wrapper of a host from its pages; wrappers() does the same for many hosts."""
     streams = [tokenize(p) for p in pages]
-    streams = [s for s in streams if s] or [[]]
-    wrapper = stream(streams[0])
-    for s in streams[1:]:
-        wrapper = unify(wrapper, stream(s))
-    return judge(wrapper, streams)
+    shapes = {json.dumps(stream(s)) for s in streams if s}
+    rows = {f for s in streams for f in facts(s)}
+    held: dict[int, set[int]] = {}
+    of: dict[int, set[int]] = {}
+    blocks = {}
+    for slot, element, block, size, page in rows:
+        held.setdefault(block, set()).add(page)
+        of.setdefault(slot, set()).add(page)
+        blocks[block, element] = slot, size
+    constant = {b for (b, _), (slot, _) in blocks.items() if len(held[b]) >= max(CONSTANT_PAGES, CONSTANT_SHARE * len(of[slot]))}
+    weights: dict[int, int] = {}
+    for (block, element), (_, size) in blocks.items():
+        if element is not None and block not in constant:
+            weights[element] = weights.get(element, 0) + size
+    return judge(merge([json.loads(x) for x in sorted(shapes)] or [[]]), list(constant), [list(x) for x in weights.items()])
 
 
 def follow(wrapper: list, tokens: list[Token]) -> list[bool | None]:
@@ -338,13 +383,15 @@ def follow(wrapper: list, tokens: list[Token]) -> list[bool | None]:
         for n in nodes:
             if at >= len(tokens):
                 return
+            if n[0] in "cw":
+                continue
             if n[0] == "t":
                 if tokens[at][0] == n[1]:
                     at += 1
                 elif (found := ahead(n[1])) is not None and len(tokens[found][2]) <= len(tokens[at][2]):
                     at = found + 1  # what lies between is not in the wrapper
             elif n[0] == "x":
-                if tokens[at][0] == "#" and len(tokens[at][2]) == len(n[1]):
+                if tokens[at][0] == "#" and list(tokens[at][2]) == n[1]:
                     told[at] = bool(n[2])
                     at += 1
             else:
@@ -359,26 +406,40 @@ def follow(wrapper: list, tokens: list[Token]) -> list[bool | None]:
     return told
 
 
-def main_text(html: str | None, wrapper: list | None) -> str:
-    """The blocks of main text of a page, in page order, joined by line ends."""
+def _learned(wrapper: list | None) -> tuple[frozenset[int], dict[int, int]]:
+    """The wrapper's constant blocks, and the elements with the size of their other text."""
+    kinds = {n[0]: n[1] for n in (wrapper or [])[-2:] if n[0] in "cw"}
+    return frozenset(kinds.get("c", ())), dict(kinds.get("w", ()))
+
+
+def _container(elements: set[tuple[str, ...]], weights: dict[int, int]) -> tuple[str, ...]:
+    """Of the elements that hold the page's text, the one with most of the host's text that varies, or the outermost one
+    around it that holds such text as well. Without any it is the whole page."""
+    size = {p: weights.get(_number(*p), 0) for p in elements}
+    best = max(sorted(elements, key=lambda p: (len(p), p)), key=size.__getitem__, default=())
+    if not size.get(best):
+        return ()
+    return next(best[:n] for n in range(len(best) + 1) if size.get(best[:n]))
+
+
+def main_text(html: str | None, wrapper: list | None, learned: tuple[frozenset[int], dict[int, int]] | None = None) -> str:
+    """The blocks of main text of a page, in page order, joined by line ends.
+
+    With an article or main element it is what lies in it, otherwise what lies in the element with most text that varies;
+    in both cases without what is beside the text, and without texts that are constant over the host.
+    """
     if not html:
         return ""
     tokens = tokenize(html)
     told = follow(wrapper, tokens) if wrapper else [None] * len(tokens)
-    tag = next((t for t in _MAIN_TAGS if any(s == "#" and _within(p, t) and not _side(p) for s, _, p in tokens)), None)
-
-    def alone(path: tuple[str, ...]) -> bool:
-        return not _side(path) and (tag is None or _within(path, tag))
-
-    known = any(told)
+    constant, weights = learned or _learned(wrapper)
+    tag = _main_tag(tokens)
     blocks = []
     for (sign, text, path), says in zip(tokens, told):
-        if sign == "#":
-            # beside an article's wrapper, the page's own article is right about what the wrapper does not know
-            good = says if says is not None else alone(path) and (tag is not None or not known)
-            if good:
-                blocks.append(text)
-    return "\n".join(blocks)
+        if sign == "#" and (says if says is not None else not _side(path)) and (tag is None or _within(path, tag)):
+            blocks.append((path, text, bool(constant) and tag is None and _number(*path, text) in constant))
+    inside = () if tag else _container({path[:-1] for path, _, always in blocks if not always}, weights)
+    return "\n".join(text for path, text, always in blocks if not always and path[: len(inside)] == inside)
 
 
 def host(url: Column) -> Column:
@@ -386,27 +447,81 @@ def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host and wrapper (JSON) of every host. Sampling keeps a few pages of each task before it shuffles."""
-    rows = pages.filter(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("place"), "html")
-    nth = F.row_number().over(Window.partitionBy("host").orderBy("place", "html"))
-    chosen = rows.withColumn("nth", nth).filter(F.col("nth") <= sample)
-
-    def learn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        found = infer(group.sort_by("nth").column("html").to_pylist())
-        return pa.table({"host": pa.array([key[0].as_py()]), "wrapper": pa.array([json.dumps(found)])})
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: streams of a host, and blocks of its pages."""
+    seen: set[tuple[str, int]] = set()
+    names = ["host", "shape", *_FACTS]
+    types = [pa.string(), pa.string(), *[pa.int64()] * len(_FACTS)]
+    for b in batches:
+        rows: list[tuple] = []
+        for own, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            tokens = tokenize(html)
+            if not tokens:
+                continue
+            shape = json.dumps(stream(tokens))
+            known = own, hash(shape)
+            if known not in seen:
+                if len(seen) >= 100_000:
+                    seen.clear()  # repeated rows go in the group that follows
+                seen.add(known)
+                rows.append((own, shape, *[None] * len(_FACTS)))
+            rows += [(own, None, *f) for f in facts(tokens)]
+        columns = zip(*rows) if rows else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _merged(shapes: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) from all distinct streams, in a tree of merges; hosts are dealt by hashes of streams."""
+    rows = shapes.groupBy("host", "shape").agg(F.lit(None)).select("host", F.col("shape").alias("wrapper"), F.xxhash64("shape").alias("place"))
+    rows = written(rows, "page-streams")
+    most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-most // FAN))
+    rows = rows.withColumn("place", F.pmod("place", F.lit(parts)))
+
+    def join(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found = merge([json.loads(x) for x in sorted(group.column("wrapper").to_pylist())])
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(found)]), "place": pa.array([key[1].as_py()], pa.int64())})
+
+    while True:
+        rows = rows.groupBy("host", "place").applyInArrow(join, "host string, wrapper string, place long")
+        if parts == 1:
+            return rows.select("host", "wrapper")
+        parts = -(-parts // FAN)
+        rows = written(rows, "part-wrappers").withColumn("place", F.floor(F.col("place") / FAN))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of every host, from all of its pages."""
+    schema = ", ".join(["host string", "shape string", *(f"{c} long" for c in _FACTS)])
+    rows = pages.filter(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), "html")
+    rows = written(rows.mapInArrow(_gather, schema), "page-facts")
+    shapes, blocks = _merged(rows.filter(F.col("shape").isNotNull())), rows.filter(F.col("shape").isNull())
+    of = blocks.groupBy("host", "slot").agg(F.count_distinct("page").alias("pages"))
+    often = blocks.groupBy("host", "slot", "block").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= CONSTANT_PAGES)
+    constant = written(often.join(of, ["host", "slot"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).select("host", "block"), "constant-blocks")
+    held = blocks.filter(F.col("element").isNotNull()).groupBy("host", "element", "block").agg(F.min("size").alias("size"))
+    varied = held.join(constant, ["host", "block"], "left_anti")
+    weights = varied.groupBy("host", "element").agg(F.sum("size").alias("size"))
+    weights = weights.groupBy("host").agg(F.collect_list(F.array("element", "size")).alias("weights"))
+    constant = constant.groupBy("host").agg(F.collect_list("block").alias("constant"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [json.dumps(judge(json.loads(w), c or [], s or [])) for _, w, c, s in zip(*(x.to_pylist() for x in b.columns))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["host", "wrapper"])
 
-    return chosen.groupBy("host").applyInArrow(learn, "host string, wrapper string")
+    whole = shapes.join(constant, "host", "left").join(weights, "host", "left").select("host", "wrapper", "constant", "weights")
+    return whole.mapInArrow(add, "host string, wrapper string")
 
 
-def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     A null html is empty and has no text; a null or odd url belongs to the host ''; a null page_id stays null; repeated
     rows give repeated rows, and an empty table none. Pages are read whole.
     """
     spark = pages.sparkSession
-    known = written(wrappers(pages, sample), "wrappers")
+    known = written(wrappers(pages), "wrappers")
     size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     shared = None
@@ -419,7 +534,7 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list | None] = {}
+        parsed: dict[str, tuple] = {}
         for b in batches:
             texts = []
             for own, html, wrapper in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("wrapper").to_pylist()):
@@ -427,8 +542,9 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     if len(parsed) >= 1_000:
                         parsed.clear()
                     told = shared.value.get(own) if shared else wrapper
-                    parsed[own] = json.loads(told) if told else None
-                texts.append(main_text(html, parsed[own]))
+                    known = json.loads(told) if told else None
+                    parsed[own] = known, _learned(known)
+                texts.append(main_text(html, *parsed[own]))
             columns = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

@@ -255,6 +255,36 @@ def test_embedded_elements_hide_their_own_content_only(html, text):
     assert H.main_text(html, None) == text
 
 
+def texts_of(spark, htmls):
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)]
+    found = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [found[i] for i in range(len(htmls))]
+
+
+def test_elements_of_few_pages_of_a_host_stay(spark):
+    pages = [page(f"<h2>T{i}</h2>", *(f"<p>text {i} number {j} of the story</p>" for j in range(3))) for i in range(300)]
+    pages[11] = page("<h2>T</h2>", "<p>own text of eleven</p>", "<blockquote><p>quoted</p></blockquote>", "<table><tr><td>cell</td></tr></table>", "<ul><li>one</li><li>two</li></ul>")
+    pages[12] = "<html><body><div class=second><p>another</p><p>template</p></div></body></html>"
+    group = "".join(f"<h3>h{{0}} {i}</h3><p>p{{0}} {i}</p>" for i in range(9))
+    pages[13] = page("<div>" + "</div><div>".join(group.format(k) for k in range(3)) + "</div>")
+    got = texts_of(spark, pages)
+    assert got[11] == "T\nown text of eleven\nquoted\ncell\none\ntwo"
+    assert got[12] == "another\ntemplate"
+    assert got[13] == "\n".join(f"h{k} {i}\np{k} {i}" for k in range(3) for i in range(9))
+    assert got[299] == "T299\n" + "\n".join(f"text 299 number {j} of the story" for j in range(3))
+
+
+def test_merges_in_a_tree_accept_all_streams(spark, monkeypatch):
+    monkeypatch.setattr(H, "FAN", 2)
+    pages = [page(*(f"<{t}>{t}{i}</{t}>" for j, t in enumerate(("h2", "p", "pre", "ul", "h4")) if i >> j & 1)) for i in range(1, 32)]
+    rows = spark.createDataFrame([(i, "http://h.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    (row,) = H.wrappers(rows).collect()
+    signs = set(re.findall(r"<[a-z0-9]+", row.wrapper))
+    assert {"<h2", "<p", "<pre", "<ul", "<h4"} < signs
+    merged = H.merge([H.stream(H.tokenize(h)) for h in pages])
+    assert all(H.accepts(H.unify(merged, s), s) for s in map(H.stream, map(H.tokenize, pages[:1])))
+
+
 def hostile_pages(spark):
     body = "<article><p>text</p></article>"
     rows = [
