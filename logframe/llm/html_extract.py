@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -320,15 +319,15 @@ def _main_tag(tokens: list[Token]) -> str | None:
 
 
 #: A block that is not beside the text: where it stands, the element that it lies in (none on pages with an article or main
-#: element), place and text, length, and its page. All but the length are hashes.
+#: element), place and text, length, and all blocks of its page. All but the length are hashes.
 _FACTS = ["slot", "element", "block", "size", "page"]
 
 
 def facts(tokens: list[Token]) -> list[tuple[int, int | None, int, int, int]]:
-    """A page's distinct blocks."""
+    """A page's distinct blocks. Pages are copies if they have the same blocks, whatever their scripts and sides are."""
     found = sorted({(p, t) for s, t, p in tokens if s == "#" and not _side(p)})
     blocks = [_number(*p, t) for p, t in found]
-    page, tagged = uuid.uuid4().int >> 65, _main_tag(tokens) is not None
+    page, tagged = _number(*map(str, blocks)), _main_tag(tokens) is not None
     return [(_number(*p), None if tagged else _number(*p[:-1]), block, len(t), page) for (p, t), block in zip(found, blocks)]
 
 
@@ -426,7 +425,8 @@ def main_text(html: str | None, wrapper: list | None, learned: tuple[frozenset[i
     """The blocks of main text of a page, in page order, joined by line ends.
 
     With an article or main element it is what lies in it, otherwise what lies in the element with most text that varies;
-    in both cases without what is beside the text, and without texts that are constant over the host.
+    in both cases without what is beside the text, and without texts that are constant over the host. A page that is
+    constant for the most part, in blocks and in characters, is one of many near copies: nothing of it is left out for that.
     """
     if not html:
         return ""
@@ -438,6 +438,9 @@ def main_text(html: str | None, wrapper: list | None, learned: tuple[frozenset[i
     for (sign, text, path), says in zip(tokens, told):
         if sign == "#" and (says if says is not None else not _side(path)) and (tag is None or _within(path, tag)):
             blocks.append((path, text, bool(constant) and tag is None and _number(*path, text) in constant))
+    same = [text for _, text, always in blocks if always]
+    if 2 * len(same) > len(blocks) and 2 * sum(map(len, same)) > sum(len(text) for _, text, _ in blocks):
+        return "\n".join(text for _, text, _ in blocks)
     inside = () if tag else _container({path[:-1] for path, _, always in blocks if not always}, weights)
     return "\n".join(text for path, text, always in blocks if not always and path[: len(inside)] == inside)
 

@@ -285,6 +285,15 @@ def test_merges_in_a_tree_accept_all_streams(spark, monkeypatch):
     assert all(H.accepts(H.unify(merged, s), s) for s in map(H.stream, map(H.tokenize, pages[:1])))
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = page("<h2>Title</h2>", "<p>the first and longest paragraph</p>", "<p>the second one</p>")
+    near = [page(f"<h2>Day {i}</h2>", "<p>the first and longest paragraph</p>", "<p>the second one</p>") for i in range(10)]
+    others = [page(f"<h2>Other {i}</h2>", f"<p>a paragraph of page {i}</p>") for i in range(2)]
+    for pages in ([copy] * 40, [copy] * 40 + others, near + others):
+        assert texts_of(spark, pages) == [H.main_text(h, None) for h in pages]
+        assert [H.main_text(h, H.infer(pages)) for h in pages] == [H.main_text(h, None) for h in pages]
+
+
 def hostile_pages(spark):
     body = "<article><p>text</p></article>"
     rows = [
