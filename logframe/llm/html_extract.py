@@ -437,7 +437,7 @@ def main_text(html: str | None, wrapper: list | None, learned: tuple[frozenset[i
     blocks = []
     for (sign, text, path), says in zip(tokens, told):
         if sign == "#" and (says if says is not None else not _side(path)) and (tag is None or _within(path, tag)):
-            blocks.append((path, text, bool(constant) and tag is None and _number(*path, text) in constant))
+            blocks.append((path, text, bool(constant) and _number(*path, text) in constant))
     same = [text for _, text, always in blocks if always]
     if 2 * len(same) > len(blocks) and 2 * sum(map(len, same)) > sum(len(text) for _, text, _ in blocks):
         return "\n".join(text for _, text, _ in blocks)

@@ -294,6 +294,15 @@ def test_copies_of_a_page_keep_their_text(spark):
         assert [H.main_text(h, H.infer(pages)) for h in pages] == [H.main_text(h, None) for h in pages]
 
 
+def test_constant_text_inside_articles_is_no_main_text(spark):
+    notice = "<div class=hinweis>Dieser Hinweis steht auf allen Seiten und ist lang</div>"
+    for tag in ("article", "main"):
+        pages = [f"<{tag}><h1>T{i}</h1><p>story {i}</p>{notice}<p>more of {i}</p><p>Write to us</p></{tag}>" for i in range(6)]
+        want = [f"T{i}\nstory {i}\nmore of {i}" for i in range(6)]
+        assert texts_of(spark, pages) == want
+        assert [H.main_text(h, H.infer(pages)) for h in pages] == want
+
+
 def hostile_pages(spark):
     body = "<article><p>text</p></article>"
     rows = [
