@@ -117,6 +117,32 @@ def test_items_asked_again(spark, text, held):
     assert {r.item_id for r in contaminated(docs, items).collect()} == held
 
 
+LONG = " ".join(prose(1, random.Random(i)).strip(".").lower() + "x" for i in range(59))
+
+
+@pytest.mark.parametrize(
+    ("text", "held"),
+    [
+        (" ".join(LONG.split(" ")[17:42]), {1}),  # 25 of 59 words: 18 of 52 windows
+        ("so " + " ".join(LONG.split(" ")[5:20]) + " and on", set()),
+        ("before: 12, 13, 14, 15 16 17 18 19 20!", {2}),
+        ("12 13 14 15 16 17 18 19 21 and 13 14 15 16 17 18 19 20", set()),
+        ("Name the Capital of it", {3}),
+        ("the capital", set()),
+        (" ".join(map(str, range(105, 125))), {4}),
+        (" ".join(map(str, range(105, 118))), set()),
+        ("0 7 and 5 9 1", {5}),
+    ],
+)
+def test_runs_and_items_without_windows(spark, text, held):
+    items = [(1, LONG), (2, ITEMS[4][1]), (3, "the capital of"), (4, " ".join(map(str, range(100, 140)))), (5, "5 9 1"), (6, " ?! "), (7, "Solo")]
+    docs = spark.createDataFrame([(7, text), (7, text), (8, None), (9, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()]
+    assert sorted(rows) == [(7, i) for i in sorted(held)]
+    assert {r.doc_id for r in decontaminated(docs, items).collect()} == ({8, 9} if held else {7, 8, 9})
+
+
 def test_hostile_items(spark):
     items = spark.createDataFrame([(9, hostile_rows()[5][1], "x"), (None, "a b c d e f g h i", "x")], "item_id long, text string, shift string")
     found = contaminated(hostile(spark), items).collect()
