@@ -40,3 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(*cols: str) -> Column:
     """Tells rows apart by content: equal rows have equal keys, and stand for one another."""
     return F.struct(*(F.col(c) for c in cols))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, or with low lines behind it so that no frame has a column of that name in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

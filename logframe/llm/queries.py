@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logframe.llm.best_fit import best_fit_packing
 from logframe.llm.common import table
 from logframe.llm.decontaminate import contaminated
 from logframe.llm.html_extract import extract_text
 from logframe.llm.language_id import language_id
+from logframe.llm.line_dedup import dedup_lines
 from logframe.llm.near_dedup import near_duplicates
 from logframe.llm.perplexity import quality_rules
 from logframe.llm.secret_scan import secret_scan
+from logframe.llm.token_align import align_tokens
 from logframe.llm.token_blocks import token_blocks
 from logframe.llm.token_counts import token_counts
 from logframe.llm.warc_archive import archive_pages
+from logframe.llm.whiten import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +41,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
+    "op13_line_dedup": r"""WITH l AS (
+  SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at,
+    unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM documents
+), k AS (
+  SELECT doc_id, at, line,
+    translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+d AS (SELECT k.doc_id, at, line, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""",
 }
 
 
@@ -94,3 +111,20 @@ def op9_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), groups="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
