@@ -42,17 +42,17 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
     "op13_line_dedup": r"""WITH l AS (
-  SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at,
+  SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos,
     unnest(string_split(coalesce(text, ''), chr(10))) AS line
   FROM documents
 ), k AS (
-  SELECT doc_id, at, line,
+  SELECT doc_id, pos, line,
     translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l
 ), f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
-d AS (SELECT k.doc_id, at, line, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f USING (key))
+d AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id""",
 }
 
