@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logframe.llm.common import written
+from logframe.llm.common import unused, written
 
 #: Tokens in a window. Items with fewer tokens, but at least the second number, are held by windows of that.
 WINDOWS = (8, 4)
@@ -208,6 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).distinct()
+    own, text = unused("c_id", docs), unused("c_key", docs)
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(own), F.col("key").alias(text)).distinct()
     key = F.xxhash64(docs["text"])
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("c_id")) & (key == F.col("c_key")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(own)) & (key == F.col(text)), "left_anti")

@@ -158,9 +158,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), profile: int = PROFILE) -> DataFrame:
+def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), profile: int = PROFILE, told: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The kept columns with lang_pred and score, for every row; ``und`` and 0 for a text that is null or has no letter.
 
+    ``told`` gives these two other names, for tables that keep columns of theirs.
+
     score is the nearest language's likeness (1 less its distance as a share of the largest) as a share of the two
     nearest languages' likeness. Equal distances go to the language that comes first by name.
     """
@@ -179,7 +181,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tu
     types = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = ", ".join([*(f"{n} {types[n]}" for n in names), "lang_pred string", "score double"])
     out = source.mapInArrow(predict, schema)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "lang_pred", "score")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), *(F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), told)))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logframe.llm.common import written
+from logframe.llm.common import unused, written
 
 SHINGLE, PERCENT, K = 5, 80, 32
 #: The chance that a pair of exactly the wanted similarity shares fewer retained values than asked for.
@@ -288,8 +288,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     doc_id all stay.
     """
     first = _grouped(docs, shingle, percent, k).filter("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"))
-    first = first.select(F.col("doc_id").alias("first_id"), F.col("key").alias("first_key"))
-    key = next(c for c in (f"key{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    first_id, first_key, key = (unused(name, docs) for name in ("first_id", "first_key", "key"))
+    first = first.select(F.col("doc_id").alias(first_id), F.col("key").alias(first_key))
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    chosen = keyed.join(first, (F.col("doc_id") == F.col("first_id")) & (F.col(key) == F.col("first_key")), "left_semi")
+    chosen = keyed.join(first, (F.col("doc_id") == F.col(first_id)) & (F.col(key) == F.col(first_key)), "left_semi")
     return chosen.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logframe.llm.common import written
+from logframe.llm.common import unused, written
 
 #: Kinds in the order of reports: pattern, group whose length counts, least length, a quick test, role.
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -135,8 +135,9 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
     Clean documents stay as they are. Equal rows have equal spans, so the join goes by doc_id and a hash of the text.
     """
     found = scan_rows(docs.select("doc_id", "text"), scope).filter(F.size("spans") > 0).distinct()
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("spans").alias("f_spans"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("f_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("f_key")), "left")
+    own, key, at = (unused(name, docs) for name in ("f_id", "f_key", "f_spans"))
+    found = found.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("spans").alias(at))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key)), "left")
     plain = F.coalesce(docs["text"], F.lit(""))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
@@ -146,7 +147,7 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataF
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     rest = lambda acc: F.concat(acc["out"], plain.substr((acc["at"] + 1).cast("int"), F.length(plain)))
-    text = F.when(F.col("f_spans").isNull(), docs["text"]).otherwise(F.aggregate("f_spans", start, step, rest))
+    text = F.when(F.col(at).isNull(), docs["text"]).otherwise(F.aggregate(at, start, step, rest))
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns if c != "n_chars"]
-    out = joined.select(*columns, *([F.when(F.col("f_spans").isNull(), docs["n_chars"]).otherwise(F.length(text)).cast("long").alias("n_chars")] if "n_chars" in docs.columns else []))
+    out = joined.select(*columns, *([F.when(F.col(at).isNull(), docs["n_chars"]).otherwise(F.length(text)).cast("long").alias("n_chars")] if "n_chars" in docs.columns else []))
     return out.select(*docs.columns)

@@ -15,7 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -69,6 +69,8 @@ class _Rows:
 class _Side:
     """One tokenizer: ids of segments, and the bytes of each id."""
 
+    exact = False
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path.endswith(".model"):
@@ -90,6 +92,8 @@ class _Side:
                 known = all(c in letters for c in token)
                 self.bytes[i] = bytes(letters[c] for c in token) if known else token.encode()
             self.encode = lambda texts: self._in_runs(whole, texts)
+            # Without a normalizer and with a letter for every byte the ids give back any text.
+            self.exact = whole.normalizer is None and set(letters) <= set(vocab)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
     def _in_runs(self, whole, texts: list[str]) -> list[list[int]]:
@@ -109,6 +113,8 @@ class _Side:
 
     def wrong(self, texts: list[str], lists: list[list[int]], ids: np.ndarray) -> list[int]:
         """Places of the texts of which the ids give other bytes than " " + text."""
+        if self.exact:
+            return []
         want = [b" " + t.encode() for t in texts]
         ends = np.cumsum([len(x) for x in lists])
         lengths = np.concatenate([[0], np.cumsum(self.lengths[ids])])[ends]
@@ -123,27 +129,39 @@ class _Side:
 
 
 class Tokens:
-    """Tokens of both sides for segments, each encoded once while the cache lasts."""
+    """Tokens of both sides for segments. Beyond ``cache_tokens`` of a side those that came once are forgotten, or all."""
 
     def __init__(self, path_a: str, path_b: str, cache_tokens: int = CACHE_TOKENS):
         self.sides, self.cache_tokens = (_Side(path_a), _Side(path_b)), cache_tokens
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Forget all segments but those with the numbers to keep."""
+        kept = [] if keep is None else [self.gather(side, keep) for side in (0, 1)]
+        texts = [] if keep is None else list(map(list(self.known).__getitem__, keep.tolist()))
+        wrong = set() if keep is None else self.wrong
+        #: Segments of which a side gives other bytes than the text has.
+        self.wrong = {new for new, old in enumerate([] if keep is None else keep.tolist()) if old in wrong}
+        self.known: dict[str, int] = dict(zip(texts, range(len(texts))))
         self.ids = (_Rows(np.int32), _Rows(np.int32))
         self.ends = (_Rows(np.int64), _Rows(np.int64))
-        #: Segments of which a side gives other bytes than the text has.
-        self.wrong: set[int] = set()
+        self.seen = np.zeros(len(texts), np.int64)
+        for (ids, counts), own, ends in zip(kept, self.ids, self.ends):
+            own.add(ids)
+            ends.add(np.cumsum(counts))
+
+    def _make_room(self) -> None:
+        if max(rows.size for rows in self.ids) > self.cache_tokens:
+            keep = np.flatnonzero(self.seen > 1)
+            few = max(self.gather(side, keep)[1].sum() for side in (0, 1)) <= self.cache_tokens // 2
+            self.forget(keep if few else None)
 
     def find(self, found: list[str]) -> np.ndarray:
         """Numbers of segments; unknown ones are encoded in one call for each side."""
-        numbers = list(map(self.known.get, found))
-        if None in numbers:
-            new = list(dict.fromkeys(s for s, n in zip(found, numbers) if n is None))
-            if max(rows.size for rows in self.ids) > self.cache_tokens:
-                self.forget()
-                new = list(dict.fromkeys(found))
+        numbers = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        if (numbers < 0).any():
+            self._make_room()
+            new = list(dict.fromkeys(s for s in found if s not in self.known))
             first = len(self.known)
             both = [side.encode(new) for side in self.sides]
             for side, lists, ids, ends in zip(self.sides, both, self.ids, self.ends):
@@ -152,8 +170,10 @@ class Tokens:
                 ids.add(flat)
                 self.wrong.update(first + at for at in side.wrong(new, lists, flat))
             self.known.update(zip(new, range(first, first + len(new))))
-            numbers = list(map(self.known.__getitem__, found))
-        return np.array(numbers, np.int64)
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+            numbers = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        self.seen += np.bincount(numbers, minlength=len(self.seen))
+        return numbers
 
     def bytes_of(self, side: int, number: int) -> bytes:
         ends, ids = self.ends[side].data, self.ids[side].data

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -88,6 +89,10 @@ def _times(left: BlockMatrix, right: BlockMatrix, parts: int = 1) -> BlockMatrix
     return BlockMatrix(a.multiply(b, parts), left.rowsPerBlock, right.colsPerBlock)
 
 
+def _release(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def _local_blocks(spark, matrix: np.ndarray, rows_per_block: int) -> BlockMatrix:
     """A small matrix as blocks of so many rows."""
     k = matrix.shape[1]
@@ -155,16 +160,19 @@ def whiten(
     fit = written(vectors.groupBy("digest").agg(F.first("x").alias("x")).withColumn("place", F.monotonically_increasing_id()), "vectors")
     n, sums, most = _sums(fit, d)
     rows = _indexed(fit)
-    matrix = _blocks(rows.select("index", _centred(sums, n).alias("values")), n, d)
+    # Both products read the blocks; a lost one is dealt again.
+    matrix = _blocks(rows.select("index", _centred(sums, n).alias("values")), n, d).persist(StorageLevel.MEMORY_AND_DISK)
     scatter = _times(matrix.transpose(), matrix, max(1, matrix.numRowBlocks // 4)).toLocalMatrix().toArray()
     values, explained, projection = _eigen(scatter, n, components)
     if not len(values):
+        _release(matrix)
         return empty, None
     projected = _times(matrix, _local_blocks(spark, projection, matrix.colsPerBlock)).toIndexedRowMatrix()
     found = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
     found = found.select(F.col("index"), vector_to_array("vector").alias("y"))
     whole = rows.join(found, "index").select("digest", _deviation(n, sums, most).alias("deviation"), "y")
     whitened = written(whole, "whitened")
+    _release(matrix)
     error = _identity_error(whitened, len(values))
     share = F.array(*[F.lit(float(e)) for e in explained])
     out = vectors.select("digest", *keep).join(whitened, "digest").select(*keep, "deviation", F.posexplode("y").alias("at", "whitened"))

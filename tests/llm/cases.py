@@ -4,9 +4,10 @@ import random
 import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
-    f"{c} string" for c in ("kept0", "n", "key", "row_no", "spans", "component", "place", "hash", "rep", "value", "at", "sketch", "piece", "length", "shard")
+    f"{c} string" for c in ("kept0", "n", "key", "row_no", "spans", "component", "place", "hash", "rep", "value", "at", "sketch", "piece", "length", "shard",
+          "f_id", "f_key", "f_spans", "c_id", "c_key", "first_id", "first_key", "key0", "row", "print", "match_no", "start", "match", "lang_pred", "score", "held_out", "profile", "sequence_id", "offset")
 )
-_EXTRA = 15
+_EXTRA = SCHEMA.count(" string") - 3
 
 _SYLLABLES = "an er in on the tion re st ou le que ment sch ung heit os ar ción".split()
 

@@ -17,8 +17,13 @@ def test_stages_take_effect_and_keep_columns(spark):
     before, after = texts["language"]
     assert after == {d: t for d, t in before.items() if t and any(c.isalpha() for c in t)}
     before, after = texts["near_dedup"]
-    groups, _ = plain_components(before)
+    groups, _ = plain_components(before, size=5)
     assert after == {d: t for d, t in before.items() if groups[d] == d}
+    before, after = texts["decontaminate"]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    holding = {d for d, t in before.items() if any(" ".join(i.lower().split()) in " ".join(t.lower().split()) for i in items)}
+    assert holding and not holding & set(after)
+    assert len(before) - len(after) <= 2 * len(holding) and all(before[d] == t for d, t in after.items())
     before, after = texts["secrets"]
     assert before.keys() == after.keys()
     assert all((before[d] == t) == (not base_spans(before[d]) and "[SECRET]" not in t) for d, t in after.items())
