@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logframe.llm.best_fit import best_fit_packing
-from logframe.llm.common import table, written
+from logframe.llm.common import table, unused, written
 from logframe.llm.decontaminate import decontaminated
 from logframe.llm.language_id import UNKNOWN, held_out, learn_profiles, predict_languages
 from logframe.llm.near_dedup import deduplicated
@@ -24,12 +24,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those with no text or no letters go."""
     profiles = learn_profiles(docs.filter(~held_out(F.col("doc_id"))))
-    return predict_languages(docs, profiles, keep=tuple(docs.columns)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    told = (unused("lang_pred", docs), unused("score", docs))
+    found = predict_languages(docs, profiles, keep=tuple(docs.columns), told=told)
+    return found.filter(F.col(told[0]) != UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    return deduplicated(docs, shingle=4, percent=80)
+    """Of each group of near duplicates (five words, 80 percent) the document with the smallest doc_id."""
+    return deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
