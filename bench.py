@@ -89,7 +89,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         # Small splits and several partitions per core, so that tasks balance at this data size.
-        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.shuffle.partitions", str(8 * int(CPUS)))
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
@@ -112,9 +112,13 @@ def main() -> None:
     catalog = write_logs(spark, root)
     for _ in range(2):  # a server answers with a warm JVM
         L.search(spark, catalog, level="WARN").page.collect()
+    timed("index", lambda: L.write_log_index(spark, catalog, f"{root}/index"))
+    index = L.read_log_index(spark, f"{root}/index")
     for name in RAW_SHAPES:
         request = TABLE_SHAPES[name]
-        timed(f"raw_{name}", lambda: len(L.search(spark, catalog, **request).page.collect()))
+        timed(f"raw_{name}", lambda: len(L.search(spark, catalog, index=index, **request).page.collect()))
+        if "from_ts" in request:
+            timed(f"raw_{name}_no_index", lambda: len(L.search(spark, catalog, **request).page.collect()))
     timed("raw_t01_depth_100k", lambda: len(L.search(spark, catalog, **DEPTH).page.collect()))
     timed("raw_t01_depth_20k", lambda: len(L.search(spark, catalog, **SHALLOW).page.collect()))
     timed("raw_summary", lambda: L.search(spark, catalog, level="WARN").summary().collect())

@@ -4,6 +4,7 @@ from logframe.operators.assemble import assemble_entries
 from logframe.operators.filters import filter_entries, last, merge_values, time_range
 from logframe.operators.order import (
     cap_entries,
+    numbered,
     order_entries,
     page,
     page_after,
@@ -32,8 +33,10 @@ from logframe.sources.catalog import (
     service_catalog,
     service_status,
 )
+from logframe.sources.log_index import log_index, read_log_index, write_log_index
 from logframe.sources.logs import (
     damaged_files,
+    damaged_logs,
     read_blocks,
     read_log_lines,
     read_rotated,

@@ -5,15 +5,13 @@ The rule is plain enough that SQL can state the expected fields straight from ``
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logframe.functions import text as X
 from logframe.operators.parse import parse_entries
 from logframe.sources.catalog import Catalog, service_catalog
+from logframe.sources.scratch import scratch_dir  # noqa: F401
 
 SERVICES = 3
 EVENTS_PER_FILE = 5000
@@ -79,17 +77,6 @@ def event_entries(events: DataFrame) -> DataFrame:
     return parse_entries(blocks)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/{uuid.uuid4().hex}"
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="logframe-")
-
-
 def write_logs(events: DataFrame, root: str) -> Catalog:
     """Each service's active log as a directory of part files of 5,000 events' width.
 

@@ -39,6 +39,22 @@ def order_entries(df: DataFrame, order: str = "desc") -> DataFrame:
     return df.orderBy(*sort_keys(order))
 
 
+def numbered(df: DataFrame, path: str, order: str = "desc") -> DataFrame:
+    """Every row with its ``position`` (from 0) in the order of ``order_entries``, without one task for all.
+
+    Rows are dealt by ranges of the sort keys and written to ``path``, sorted; a row's position is its place in its range
+    and the rows of the ranges before it, one number each. Entries of one time fall into several ranges where they are many.
+    """
+    ranged = df.repartitionByRange(*sort_keys(order)).sortWithinPartitions(*sort_keys(order))
+    ranged.withColumn("position", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    part, place = F.shiftright("position", 33), F.col("position").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each task
+    return rows.join(F.broadcast(bases), part == F.col("_part")).withColumn("position", F.col("_before") + place).drop("_part", "_before")
+
+
 def _time_bound(df: DataFrame, order: str, k: int) -> tuple[Column, Column]:
     """The time beyond which no row can be among the first k, and whether all timed rows are."""
     minute = [F.to_date("ts").alias("day"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute")]

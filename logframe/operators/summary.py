@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logframe.operators.order import is_asc
@@ -58,3 +60,20 @@ def search_summary(
         "next_offsets",
         (end < F.col("total_matched")).alias("has_more"),
     )
+
+
+def summary_row(
+    spark: SparkSession, total: int, structural: int, limit: int | None, start: int, order: str, offsets: Mapping[str, int]
+) -> DataFrame:
+    """The row of ``search_summary`` from counts that are known."""
+    names = F.array(*map(F.lit, offsets)).cast("array<string>")
+    places = F.array(*map(F.lit, offsets.values())).cast("array<bigint>")
+    end = total if limit is None else start + limit
+    return spark.range(1).select(
+        F.lit(total).cast("long").alias("total_matched"),
+        F.lit(structural).cast("long").alias("filtered_by_structured"),
+        F.lit(limit).cast("int").alias("page_limit"),
+        F.lit("asc" if is_asc(order) else "desc").alias("sort_order"),
+        F.map_from_arrays(names, places).alias("next_offsets"),
+        F.lit(end < total).alias("has_more"),
+    )

@@ -99,7 +99,7 @@ def _location(path: str) -> str:
 
 
 def list_log_files(spark: SparkSession, services: Catalog) -> DataFrame:
-    """Service, path, length and modification time of every file of the services' logs.
+    """Service, URI, length, modification time and path of every file of the services' logs.
 
     One listing for all services; no content is read. A file belongs to the services whose log is the
     file or a directory above it.
@@ -107,9 +107,9 @@ def list_log_files(spark: SparkSession, services: Catalog) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = load_existing(reader, (s.log_file for s in services))
     if files is None:
-        schema = "service string, file_path string, length long, modificationTime timestamp"
+        schema = "service string, file_path string, length long, modificationTime timestamp, path string"
         return spark.createDataFrame([], schema)
-    named = files.select(F.input_file_name().alias("file_path"), "length", "modificationTime")
+    named = files.select(F.input_file_name().alias("file_path"), "length", "modificationTime", "path")
     # A plus sign stands for itself in a path.
     full = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
     bare = F.regexp_replace(full, _SCHEME, "")
@@ -127,7 +127,7 @@ def list_log_files(spark: SparkSession, services: Catalog) -> DataFrame:
     return (
         named.withColumn("location", F.explode(keys))
         .join(roots, "location")
-        .select("service", "file_path", "length", "modificationTime")
+        .select("service", "file_path", "length", "modificationTime", "path")
     )
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from logframe.operators.assemble import assemble_entries
 from logframe.operators.parse import parse_entries
+from logframe.operators.scan import BlockScan
 from logframe.schema import LINE_SCHEMA
 from logframe.sources.catalog import (
     SAFE_NAME,
@@ -104,13 +104,21 @@ def read_blocks(
     skip_damaged: bool = False,
 ) -> DataFrame:
     """The assembled, unparsed blocks of the active logs of the named services."""
-    services = resolve_services(catalog, names)
-    return assemble_entries(
-        read_service_lines(spark, services, skip_damaged=skip_damaged),
-        list_log_files(spark, services),
-        keep_blank=keep_blank,
-        keep_orphan=keep_orphan,
-    )
+    kept = {"keep_blank": keep_blank, "keep_orphan": keep_orphan, "skip_damaged": skip_damaged}
+    return scan_blocks(spark, resolve_services(catalog, names), **kept).blocks()
+
+
+def scan_blocks(
+    spark: SparkSession,
+    services: Catalog,
+    *,
+    keep_blank: bool = False,
+    keep_orphan: bool = True,
+    skip_damaged: bool = False,
+) -> BlockScan:
+    """The scan of the active logs of the services, of which all blocks or a window of them can be read."""
+    lines = read_service_lines(spark, services, skip_damaged=skip_damaged)
+    return BlockScan(lines, list_log_files(spark, services), keep_blank=keep_blank, keep_orphan=keep_orphan)
 
 
 def read_services(
@@ -192,10 +200,18 @@ def resume(
     return df.filter(cursor.isNull() | past)
 
 
-def check_cursors(entries: DataFrame, offsets: Mapping[str, int], default: int | None) -> None:
-    """ValueError where a byte cursor of a service would cover several files. Reads two columns."""
-    counted = entries if default is not None else entries.filter(F.col("service").isin(list(offsets)))
+def check_cursors(files: DataFrame, offsets: Mapping[str, int], default: int | None) -> None:
+    """ValueError where a byte cursor of a service would cover several files (service, file_path), as listed or read."""
+    counted = files if default is not None else files.filter(F.col("service").isin(list(offsets)))
     several = counted.groupBy("service").agg(F.min("file_path").alias("a"), F.max("file_path").alias("b")).filter("a <> b")
     found = several.select("service").first()
     if found is not None:
         raise ValueError(f"{found[0]!r} has several files: resume with after=, the last entry served")
+
+
+def damaged_logs(spark: SparkSession, services: Catalog) -> DataFrame:
+    """Service and file of the services' gzip logs that cannot be read to their end (see ``damaged_files``)."""
+    listed = list_log_files(spark, services)
+    found = damaged_files(spark, [s.log_file for s in services]).select(F.regexp_replace("file_path", "^file:/+", "/").alias("bad"))
+    path = F.regexp_replace("path", "^file:/+", "/")
+    return listed.join(found, path == F.col("bad"), "left_semi").select("service", "file_path")

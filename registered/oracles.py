@@ -166,14 +166,10 @@ def _capped(k: int, where: str = "true", order: str = NEWEST) -> str:
     return f"(SELECT * FROM {timed} UNION ALL SELECT * FROM fe WHERE {where} AND ts IS NULL)"
 
 
-def _ends(order: str) -> str:
-    def edge(function: str, name: str) -> str:
-        columns = (f"{MS} AS", "ts"), ("CAST(file_no AS BIGINT) AS", "file_no"), ("file_offset AS", "file_offset")
-        return ", ".join(f"{function}({c.removesuffix(' AS')}, nth) AS {name}_{n}" for c, n in columns)
-
+def _numbered(order: str) -> str:
     return files(
-        f"SELECT service, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, {edge('arg_min_null', 'first')},"
-        f" {edge('arg_max_null', 'last')} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS nth FROM fe) GROUP BY ALL"
+        "SELECT service, CAST(file_no AS BIGINT) AS file_no, file_offset, level, message,"
+        f" row_number() OVER (ORDER BY {order}) - 1 AS position, {MS} AS ts FROM fe"
     )
 
 
@@ -214,9 +210,10 @@ ORACLES: dict[str, str] = {
         " FROM fe GROUP BY service"
         " UNION ALL SELECT 'absent', '#00ff00', false, 0, false, 0"
     ),
-    "list_rotated": ev(
-        f"SELECT {ROTATED_NAME} AS name, true AS has_size, true AS is_instant, count(*) AS n_entries"
-        " FROM events WHERE day(events.ts) < 22 GROUP BY ALL"
+    "list_rotated": files(
+        "SELECT name, CASE WHEN name LIKE '%.gz' THEN 0 ELSE CAST((sum(n_bytes) + 1023) // 1024 AS BIGINT) END AS size_kb,"
+        f" true AS in_order, count(*) AS n_entries FROM (SELECT {ROTATED_NAME} AS name, n_bytes"
+        " FROM pl JOIN events USING (event_id) WHERE day(events.ts) < 22) GROUP BY name"
     ),
     "rotated_file_scan": ev(
         f"SELECT 'app' AS service, {ROTATED_NAME} AS log, {MS.replace('(ts', '(en.ts')} AS ts, level,"
@@ -327,8 +324,8 @@ ORACLES: dict[str, str] = {
         " AND NOT contains(lower(text), 'error')"
     ),
     # order, cap, pages, window
-    "sort_newest_first": _ends(NEWEST),
-    "sort_oldest_first": _ends(OLDEST),
+    "sort_newest_first": _numbered(NEWEST),
+    "sort_oldest_first": _numbered(OLDEST),
     "cap_live": files(f"SELECT {LIVE} FROM {_capped(700)}"),
     "cap_live_oldest": files(f"SELECT {LIVE} FROM {_capped(700, order=OLDEST)}"),
     "cap_rotated": files(f"SELECT {LIVE} FROM (SELECT * FROM fe ORDER BY {NEWEST} LIMIT 700)"),
@@ -375,6 +372,16 @@ ORACLES: dict[str, str] = {
         f"SELECT {LIVE} FROM (SELECT * FROM fe QUALIFY row_number() OVER (PARTITION BY service"
         f" ORDER BY file_no DESC, file_offset DESC) <= 400) WHERE level = 'DEBUG' ORDER BY {NEWEST} LIMIT 500"
     ),
+    "search_depth_oldest": files(
+        f"SELECT {LIVE} FROM fe QUALIFY row_number() OVER (PARTITION BY service ORDER BY file_no, file_offset) <= 700"
+    ),
+    "log_index": files(
+        "SELECT service, CAST(file_no AS BIGINT) AS file_no, CAST(count(*) AS BIGINT) AS entries,"
+        " CAST(count(*) - count(ts) AS BIGINT) AS untimed, CAST(sum(n_bytes) AS BIGINT) AS n_bytes,"
+        " strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts"
+        " FROM fe GROUP BY service, file_no"
+    ),
+    "search_by_index": files(f"SELECT {LIVE} FROM fe WHERE {SEARCH_FILTER}"),
     "search_rotated_file": ev(
         f"SELECT {MS} AS ts, level, message FROM (SELECT en.* FROM en JOIN (SELECT event_id, ts AS logged FROM events)"
         f" USING (event_id) WHERE day(logged) < 8 AND level = 'ERROR') ORDER BY {E_NEWEST} LIMIT 500"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import logframe as L
@@ -58,6 +58,11 @@ def table_path(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "table", lambda root: L.write_entries(live, f"{root}/entries"))[1] + "/entries"
 
 
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    catalog = live_catalog(spark, sf_dir)
+    return _once(spark, sf_dir, "index", lambda root: L.write_log_index(spark, catalog, f"{root}/index"))[1] + "/index"
+
+
 def live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.read_services(spark, live_catalog(spark, sf_dir))
 
@@ -147,10 +152,12 @@ def list_rotated(spark, sf_dir):
     lines = L.read_log_lines(spark, [f"{catalog[0].directory}/{name}" for name, _ in X.ROTATED[1:]])
     log = F.element_at(F.split("file_path", "/"), -2).alias("name")
     counts = lines.groupBy(log).agg(F.count_if(T.is_new_entry(F.col("value"))).alias("n_entries"))
-    instant = F.col("last_modified").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$")
-    return found.join(counts, "name", "left").select(
-        "name", (F.col("size_kb") > 0).alias("has_size"), instant.alias("is_instant"), "n_entries"
-    )
+    instant = F.to_timestamp("last_modified", "yyyy-MM-dd'T'HH:mm:ss[.SSS]'Z'")
+    ordered = found.withColumn("nth", F.monotonically_increasing_id()).withColumn("at", instant)
+    # A compressed log's size is not known from its text.
+    size = F.when(F.col("name").endswith(".gz"), 0).otherwise(F.col("size_kb"))
+    by_time = F.row_number().over(Window.orderBy(F.desc("at"), "name")) == F.row_number().over(Window.orderBy("nth"))
+    return ordered.join(counts, "name", "left").select("name", size.alias("size_kb"), by_time.alias("in_order"), "n_entries")
 
 
 @query
@@ -416,25 +423,19 @@ def query_documents(spark, sf_dir):
 # --- order, cap, pages, window -------------------------------------------------------------------
 
 
-def _ends(ordered: DataFrame) -> DataFrame:
-    """Per service and day the first and the last entry as they come out of the sort, so that its order shows."""
-    rows = placed(ordered).withColumn("nth", F.monotonically_increasing_id())
-    groups = rows.groupBy("service", F.left("ts", F.lit(10)).alias("day"))
-    return groups.agg(
-        F.count("*").alias("n"),
-        *[F.min_by(c, "nth").alias(f"first_{c}") for c in ("ts", "file_no", "file_offset")],
-        *[F.max_by(c, "nth").alias(f"last_{c}") for c in ("ts", "file_no", "file_offset")],
-    )
+def _numbered(spark: SparkSession, sf_dir: str, order: str) -> DataFrame:
+    rows = L.numbered(live_entries(spark, sf_dir), X.scratch_dir(spark) + "/sorted", order)
+    return placed(rows.withColumn("line_number", F.col("position"))).withColumnRenamed("line_number", "position")
 
 
 @query
 def sort_newest_first(spark, sf_dir):
-    return _ends(L.order_entries(live_entries(spark, sf_dir), "desc"))
+    return _numbered(spark, sf_dir, "desc")
 
 
 @query
 def sort_oldest_first(spark, sf_dir):
-    return _ends(L.order_entries(live_entries(spark, sf_dir), "asc"))
+    return _numbered(spark, sf_dir, "asc")
 
 
 @query
@@ -583,6 +584,32 @@ def search_with_depth(spark, sf_dir):
     return placed(L.search(spark, live_catalog(spark, sf_dir), level="DEBUG", scan_depth=400).page)
 
 
+@query
+def search_depth_oldest(spark, sf_dir):
+    """The first entries of each service, cut in the scan; the page shows all of them that match."""
+    how = {"sort_order": "asc", "scan_depth": 700, "limit": 0}
+    return placed(L.search(spark, live_catalog(spark, sf_dir), **how).page)
+
+
+@query
+def log_index(spark, sf_dir):
+    """What the side table knows of each file."""
+    index = L.read_log_index(spark, index_path(spark, sf_dir))
+    return index.groupBy(F.regexp_extract("file_path", r"service=(\w+)/", 1).alias("service"), file_no()).agg(
+        F.sum("entries").alias("entries"),
+        F.sum("untimed").alias("untimed"),
+        F.max("length").alias("n_bytes"),
+        micros(F.min("first_ts")).alias("first_ts"),
+        micros(F.max("last_ts")).alias("last_ts"),
+    )
+
+
+@query
+def search_by_index(spark, sf_dir):
+    index = L.read_log_index(spark, index_path(spark, sf_dir))
+    return placed(L.search(spark, live_catalog(spark, sf_dir), index=index, limit=0, **SEARCH).page)
+
+
 @query
 def search_rotated_file(spark, sf_dir):
     result = L.search_file(
