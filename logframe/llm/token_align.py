@@ -33,12 +33,19 @@ TABLE_PAIRS = 1 << 21
 #: Bytes of text that are aligned at a time; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 #: A worker's cache starts anew beyond so many tokens of a side.
-CACHE_TOKENS = 4 << 20
+CACHE_TOKENS = 3 << 20
 
 _PLAIN = "!-~\xa1-\xac\xae-ɏ"
 _CUT = re.compile(f" (?<=[{_PLAIN}] )(?=[{_PLAIN}])")
 _ENDS = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?\\Z", re.S)
 
+_LETTERS, _DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Side A's pre-tokens in a text of plain characters.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ {_LETTERS}{_DIGITS}]+")
+_PLAIN_TEXT = re.compile(f"[{_PLAIN}]+\\Z")
+#: A worker's cache of pre-tokens starts anew beyond so many.
+_CACHE_WORDS = 250_000
+
 
 def segments(text: str) -> list[str]:
     """Pieces of a text between single spaces that stand between plain characters."""
@@ -91,11 +98,26 @@ class _Side:
             for token, i in vocab.items():
                 known = all(c in letters for c in token)
                 self.bytes[i] = bytes(letters[c] for c in token) if known else token.encode()
-            self.encode = lambda texts: self._in_runs(whole, texts)
+            self.words: dict[str, list[int]] = {}
+            self.encode = lambda texts: self._by_words(whole, texts)
             # Without a normalizer and with a letter for every byte the ids give back any text.
             self.exact = whole.normalizer is None and set(letters) <= set(vocab)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
+    def _by_words(self, whole, texts: list[str]) -> list[list[int]]:
+        """The ids of " " + each text. The pre-tokens of plain texts are known from one pattern, and encoded once."""
+        cut = [_WORDS.findall(" " + t) if _PLAIN_TEXT.match(t) else None for t in texts]
+        if len(self.words) > _CACHE_WORDS:
+            self.words = {}
+        new = list({w: None for c in cut if c for w in c if w not in self.words})
+        spaced = [w[1:] for w in new if w[0] == " "]
+        self.words.update(zip([" " + w for w in spaced], self._in_runs(whole, spaced)))
+        bare = [w for w in new if w[0] != " "]
+        self.words.update(zip(bare, (e.ids for e in whole.encode_batch_fast(bare, add_special_tokens=False))))
+        others = iter(self._in_runs(whole, [t for t, c in zip(texts, cut) if c is None]))
+        words = self.words
+        return [next(others) if c is None else words[c[0]] if len(c) == 1 else [i for w in c for i in words[w]] for c in cut]
+
     def _in_runs(self, whole, texts: list[str]) -> list[list[int]]:
         """The ids of " " + each text. Many texts with plain ends are one call's text, cut by the bytes of its tokens."""
         runs = [texts[i : i + 1000] for i in range(0, len(texts), 1000)]

@@ -21,8 +21,10 @@ def rows_of(blocks):
     return sorted(map(tuple, blocks.select("entry_seq", "line_number", "file_offset", "raw_line").collect()))
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("flags", FLAGS, ids=["default", "forward"])
+HARD = [("giant entry over many splits", 0), ("giant orphan head", 0), ("blank start", 1), ("crlf", 1), ("no line end", 0)]
+
+
+@pytest.mark.parametrize("name, flags", [(name, FLAGS[i]) for name, i in HARD])
 def test_scan_gives_the_blocks_and_windows_of_a_plain_reading(spark, tiny_splits, tmp_path, name, flags):
     path = tmp_path / "app.log"
     path.write_bytes(CASES[name])
@@ -174,7 +176,7 @@ def test_searches_survive_a_damaged_service(spark, tmp_path):
         L.search(spark, catalog).page.collect()
     found = L.search(spark, catalog, skip_damaged=True, limit=0)
     counts = {r["service"]: r["count"] for r in found.page.groupBy("service").count().collect()}
-    assert counts["a"] == 120 and counts["c"] == 4000 and 0 < counts.get("b", 1) < 4000
+    assert counts["a"] == 120 and counts["c"] == 2000 and 0 < counts.get("b", 1) < 2000
     assert [(r.service, r.file_path[-8:]) for r in found.damaged.collect()] == [("b", "b.log.gz")]
     assert L.search(spark, catalog, services=("a", "c")).damaged.count() == 0
 
