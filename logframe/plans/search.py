@@ -11,7 +11,8 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from logframe.functions import patterns as P
@@ -117,15 +118,22 @@ class SearchResult:
         cap = self.request.cap
         return cap is None or (self._served is not None and self._served <= cap)
 
+    def _counts(self) -> list[Column]:
+        text, timed = self.request.query, F.col("ts").isNotNull()
+        matched = query_column(text) if is_set(text) else F.lit(True)
+        return [F.count(F.lit(1)).alias("all"), F.count_if(matched & timed).alias("timed"), F.count_if(matched & ~timed).alias("untimed")]
+
     def _watched(self) -> tuple[Observation, DataFrame]:
         """The matches, and the counts that any job over them brings along."""
-        text, seen = self.request.query, Observation()
-        matched, timed = (query_column(text) if is_set(text) else F.lit(True)), F.col("ts").isNotNull()
-        counts = F.count(F.lit(1)).alias("all"), F.count_if(matched & timed).alias("timed"), F.count_if(matched & ~timed).alias("untimed")
-        return seen, filter_query(self.structural.observe(seen, *counts), text)
+        seen = Observation()
+        return seen, filter_query(self.structural.observe(seen, *self._counts()), self.request.query)
 
     def _counted(self, seen: Observation, offsets: Mapping[str, int]) -> DataFrame:
-        found, cap = seen.get, self.request.cap
+        cap = self.request.cap
+        try:
+            found = seen.get
+        except Py4JJavaError:  # a plan that is known to be empty has nothing to observe
+            found = self.structural.agg(*self._counts()).first()
         total = found["timed"] + found["untimed"]
         if cap is not None:
             total = min(found["timed"], cap) + found["untimed"] if self.keep_null_ts else min(total, cap)
