@@ -4,11 +4,12 @@ A page is a stream of block tags and text runs (inline tags belong to the text).
 repeated groups. A host's wrapper starts as one page's stream and is aligned with others, one after the other: tokens
 that only one side has become optional groups, a group that is repeated on one side becomes repeated in the wrapper,
 text runs become slots. So a wrapper consists of tags, slots, optional groups and repeated groups, without alternatives.
+It holds all pages of its host: streams are aligned in a tree of merges.
 
-A wrapper holds all pages of its host: equal streams are one, and distinct streams are aligned in a tree of merges.
-Beside it stand the texts that are constant, which are the same at one place of almost all distinct pages, and how much
-other text each element holds. A block is main text if it is not constant and lies in nothing beside the text; blocks that
-deviate from the wrapper are judged in the same way by the elements that they lie in.
+A slot keeps its text as long as all texts that were aligned with it are equal, in all turns of a repeated group and on
+all pages; then it is constant, if three distinct pages or more have it. Otherwise it is a slot for data. What stands in
+a constant slot is no main text; tags and class words say what lies beside the text. So a notice that is a slot of its own
+goes, and a byline that is one turn of a group of paragraphs, or a paragraph or heading beside text that varies, stays.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +31,11 @@ from logframe.llm.common import written
 
 #: Streams or wrappers of a host that one step of the tree merges, on the average.
 FAN = 16
-#: A text is constant if it stands at one place of so many distinct pages, and of that share of those that have the place.
-CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
+#: A slot is constant if so many distinct pages have it, all with the same text.
+CONSTANT_PAGES = 3
 #: Wrappers of up to so many bytes in all are broadcast; beyond, pages are joined with them by host and salt.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
-#: The longest group, in tokens, that is looked for repeated.
-LONGEST_GROUP = 24
 
 #: Elements whose content is no markup. One that closes itself, as in svg, has none; a longer name is another element.
 _RAW = "script|style|textarea|title"
@@ -60,6 +60,8 @@ _SIDE_WORDS = re.compile(
     re.I,
 )
 _MAIN_TAGS = ("article", "main")
+#: Elements that text is written in, without attributes.
+_FLOW = frozenset(["<p", "<h1", "<h2", "<h3", "<h4", "<h5", "<h6"])
 
 #: A token: its sign ("<p", "</p", "#" for text), its text, and the elements that it lies in.
 Token = tuple[str, str, tuple[str, ...]]
@@ -151,69 +153,89 @@ def tokenize(html: str) -> list[Token]:
     return out
 
 
-# A wrapper node: ["t", sign], ["x", path, main], ["o", nodes] or ["r", nodes]; at its end ["c", constant texts] and
-# ["w", [element, size of its other text]...], by their hashes
+# A wrapper node: ["t", sign], ["x", place, text, pages], ["o", nodes] or ["r", nodes]; at its end ["w", [element, size of
+# its text that varies]...]. Place, text and pages of a slot are hashes: the elements that it lies in, its text (0 if texts
+# differ or it lies beside the main text), and some of the distinct pages that have it.
 
 
 def _key(node: list) -> str:
-    return json.dumps(node[:2] if node[0] != "x" else ["x"])
+    if node[0] == "t":
+        return node[1]
+    return "#" if node[0] == "x" else f"{node[0]}({' '.join(map(_key, node[1]))})"
 
 
-def _start(nodes: list) -> str:
-    """The sign that a group starts with; optional groups in front of it are passed over."""
-    for n in nodes:
-        if n[0] == "t":
-            return n[1]
-        if n[0] == "x":
-            return "#"
-        if n[0] == "r":
-            return _start(n[1])
-    return _start(nodes[0][1]) if nodes else ""
-
-
-def fold(nodes: list) -> list:
-    """Neighbouring equal groups as one repeated group, shortest groups first. A group is whole elements."""
-    keys = [_key(n) for n in nodes]
-    length = 1
-    while length <= min(LONGEST_GROUP, len(nodes) // 2):
-        i, out, out_keys, changed = 0, [], [], False
-        while i < len(nodes):
-            times = 1
-            while length > 1 and _whole(nodes[i : i + length]) and keys[i : i + length] == keys[i + times * length : i + (times + 1) * length]:
-                times += 1
-            if times > 1:
-                group = ["r", nodes[i : i + length]]
-                out.append(group)
-                out_keys.append(_key(group))
-                i, changed = i + times * length, True
-            else:
-                out.append(nodes[i])
-                out_keys.append(keys[i])
-                i += 1
-        nodes, keys = out, out_keys
-        length = 1 if changed else length
-        length += 1
-    return nodes
-
-
-def _whole(nodes: list) -> bool:
-    """Whether a run of nodes opens and closes the same elements."""
-    if not nodes or nodes[0][0] != "t" or nodes[0][1].startswith("</"):
-        return False
-    depth = 0
-    for i, n in enumerate(nodes):
-        if n[0] == "t":
-            tag = n[1].lstrip("</").split(" ")[0]
-            if tag in _VOID:
-                continue
-            depth += -1 if n[1].startswith("</") else 1
-            if depth < 0:
-                return False
-    return depth == 0
+def _join(a: list, b: list) -> list:
+    """The node of two nodes of equal key: a slot keeps its text only if both have the same."""
+    if a[0] == "t":
+        return a
+    if a[0] != "x":
+        return [a[0], [_join(x, y) for x, y in zip(a[1], b[1])]]
+    same = a[2] == b[2] != 0
+    pages = (a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:CONSTANT_PAGES]) if same else []
+    return ["x", a[1], a[2] if same else 0, pages, *([a[4] + b[4]] if len(a) > 4 else [])]
+
 
+#: An element, a text or a group among its neighbours: key, nodes, whether it is an element.
+Unit = tuple[str, list, bool]
 
-def stream(tokens: list[Token]) -> list:
-    return fold([["x", list(path), 0] if sign == "#" else ["t", sign] for sign, _, path in tokens])
+
+def _fold(units: list[Unit]) -> list[Unit]:
+    """Neighbouring equal groups as one repeated group, shortest groups first. A group starts with an element."""
+    length, ids = 1, None
+    while 2 * length <= len(units):
+        if ids is None:
+            numbers: dict[str, int] = {}
+            ids = np.array([numbers.setdefault(k, len(numbers)) for k, _, _ in units])
+            if len(numbers) == len(units):
+                break
+        same = ids[:-length] == ids[length:]
+        at = np.arange(len(same))
+        run = np.minimum.accumulate(np.where(same, len(same), at)[::-1])[::-1] - at
+        if not (run >= length).any():
+            length += 1
+            continue
+        i, out = 0, []
+        while i < len(units):
+            if i >= len(run) or run[i] < length or not units[i][2]:
+                out.append(units[i])
+                i += 1
+                continue
+            times = int(run[i]) // length + 1
+            nodes = [n for u in units[i : i + length] for n in u[1]]
+            for t in range(1, times):
+                nodes = [_join(x, y) for x, y in zip(nodes, (n for u in units[i + t * length : i + (t + 1) * length] for n in u[1]))]
+            group = ["r", nodes]
+            out.append((_key(group), [group], False))
+            i += times * length
+        length, ids = (1, None) if len(out) < len(units) else (length + 1, ids)
+        units = out
+    return units
+
+
+def stream(tokens: list[Token], page: int = 0, marked: bool = False) -> list:
+    """A page's nodes; if marked, slots end with the numbers of their tokens."""
+    levels: list[list[Unit]] = [[]]
+    opened: list[list] = []
+
+    def leave(end: list[list]) -> None:
+        inside = _fold(levels.pop())
+        nodes = [opened.pop(), *(n for u in inside for n in u[1]), *end]
+        levels[-1].append((" ".join([nodes[0][1], *(u[0] for u in inside), *(n[1] for n in end)]), nodes, True))
+
+    for i, (sign, text, path) in enumerate(tokens):
+        while len(opened) > len(path):  # elements without an end
+            leave([])
+        if sign == "#":
+            block = 0 if _side(path) else _number(*path, text)
+            levels[-1].append(("#", [["x", _place(path), block, [page] if block else [], *([[i]] if marked else [])]], False))
+        elif sign.startswith("</"):
+            leave([["t", sign]])
+        else:
+            opened.append(["t", sign])
+            levels.append([])
+    while opened:
+        leave([])
+    return [n for u in _fold(levels[0]) for n in u[1]]
 
 
 def _repeated(a: list, b: list) -> list:
@@ -235,19 +257,20 @@ def _repeated(a: list, b: list) -> list:
     return out
 
 
-def accepts(wrapper: list, page: list) -> bool:
-    """Whether a stream is one of the wrapper's, as far as one reading from left to right tells."""
-    keys, at = [_key(n) for n in page], 0
+def accepts(wrapper: list, page: list) -> list | None:
+    """The wrapper with a stream that is one of its own, as far as one reading from left to right tells; else None."""
+    keys, at, out = [_key(n) for n in page], 0, []
     for n in wrapper:
-        if n[0] == "o":
-            own = [_key(x) for x in n[1]]
-            if keys[at : at + len(own)] == own:
-                at += len(own)
-        elif at < len(keys) and keys[at] == _key(n):
-            at += 1
+        own = [_key(x) for x in n[1]] if n[0] == "o" else [_key(n)]
+        if keys[at : at + len(own)] == own:
+            found = [_join(x, y) for x, y in zip(n[1] if n[0] == "o" else [n], page[at : at + len(own)])]
+            out.append(["o", found] if n[0] == "o" else found[0])
+            at += len(own)
+        elif n[0] == "o":
+            out.append(n)
         else:
-            return False
-    return at == len(keys)
+            return None
+    return out if at == len(keys) else None
 
 
 def unify(wrapper: list, page: list) -> list:
@@ -263,7 +286,7 @@ def unify(wrapper: list, page: list) -> list:
     out: list = []
     for kind, a1, a2, b1, b2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [["o", [n]] if id(n) in optional or id(m) in optional else n for n, m in zip(flat[a1:a2], flat2[b1:b2])]
+            out += [["o", [_join(n, m)]] if id(n) in optional or id(m) in optional else _join(n, m) for n, m in zip(flat[a1:a2], flat2[b1:b2])]
             continue
         for part in (flat[a1:a2], flat2[b1:b2]):
             if part:
@@ -275,8 +298,8 @@ def merge(streams: list[list]) -> list:
     """The wrapper of some streams or wrappers of one host."""
     wrapper = streams[0]
     for s in streams[1:]:
-        if not accepts(wrapper, s):
-            wrapper = unify(wrapper, s)
+        known = accepts(wrapper, s)
+        wrapper = unify(wrapper, s) if known is None else known
     return wrapper
 
 
@@ -314,130 +337,104 @@ def _number(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+@lru_cache(100_000)
+def _place(path: tuple[str, ...]) -> int:
+    return _number(*path)
+
+
 def _main_tag(tokens: list[Token]) -> str | None:
     return next((t for t in _MAIN_TAGS if any(s == "#" and _within(p, t) and not _side(p) for s, _, p in tokens)), None)
 
 
-#: A block that is not beside the text: where it stands, the element that it lies in (none on pages with an article or main
-#: element), place and text, length, and all blocks of its page. All but the length are hashes.
-_FACTS = ["slot", "element", "block", "size", "page"]
+#: A block that is not beside the text, of a page without article or main: the element that it lies in, place and text,
+#: and length. The first two are hashes.
+_FACTS = ["element", "block", "size"]
 
 
-def facts(tokens: list[Token]) -> list[tuple[int, int | None, int, int, int]]:
-    """A page's distinct blocks. Pages are copies if they have the same blocks, whatever their scripts and sides are."""
+def facts(tokens: list[Token]) -> tuple[int, list[tuple[int, int, int]]]:
+    """A page's number and its distinct blocks. Pages are copies if they have the same blocks, whatever their scripts and
+    sides are."""
     found = sorted({(p, t) for s, t, p in tokens if s == "#" and not _side(p)})
-    blocks = [_number(*p, t) for p, t in found]
-    page, tagged = _number(*map(str, blocks)), _main_tag(tokens) is not None
-    return [(_number(*p), None if tagged else _number(*p[:-1]), block, len(t), page) for (p, t), block in zip(found, blocks)]
+    page = _number(*(x for p, t in found for x in (*p, "", t)))
+    if _main_tag(tokens) is not None:
+        return page, []
+    return page, [(_place(p[:-1]), _number(*p, t), len(t)) for p, t in found]
 
 
-def judge(wrapper: list, constant: list[int], weights: list[list[int]]) -> list:
-    """Mark the wrapper's slots that do not lie beside the text, and add what was learned of the host's blocks."""
-    for s in _slots(wrapper):
-        s[2] = int(not _side(tuple(s[1])))
-    return [*wrapper, ["c", sorted(constant)], ["w", sorted(weights)]]
+def constants(wrapper: list) -> set[int]:
+    """Blocks that stand in constant slots."""
+    return {x[2] for x in _slots(wrapper) if x[2] and len(x[3]) >= CONSTANT_PAGES}
 
 
 def infer(pages: list[str]) -> list:
     """The wrapper of a host from its pages; wrappers() does the same for many hosts."""
-    streams = [tokenize(p) for p in pages]
-    shapes = {json.dumps(stream(s)) for s in streams if s}
-    rows = {f for s in streams for f in facts(s)}
-    held: dict[int, set[int]] = {}
-    of: dict[int, set[int]] = {}
-    blocks = {}
-    for slot, element, block, size, page in rows:
-        held.setdefault(block, set()).add(page)
-        of.setdefault(slot, set()).add(page)
-        blocks[block, element] = slot, size
-    constant = {b for (b, _), (slot, _) in blocks.items() if len(held[b]) >= max(CONSTANT_PAGES, CONSTANT_SHARE * len(of[slot]))}
-    weights: dict[int, int] = {}
-    for (block, element), (_, size) in blocks.items():
-        if element is not None and block not in constant:
+    streams, held = [[]], {}
+    for tokens in filter(None, map(tokenize, pages)):
+        page, blocks = facts(tokens)
+        streams.append(stream(tokens, page))
+        held |= {(element, block): size for element, block, size in blocks}
+    wrapper = merge(sorted(streams[1:], key=json.dumps) or streams)
+    constant, weights = constants(wrapper), {}
+    for (element, block), size in held.items():
+        if block not in constant:
             weights[element] = weights.get(element, 0) + size
-    return judge(merge([json.loads(x) for x in sorted(shapes)] or [[]]), list(constant), [list(x) for x in weights.items()])
+    return [*wrapper, ["w", sorted([e, w] for e, w in weights.items())]]
 
 
-def follow(wrapper: list, tokens: list[Token]) -> list[bool | None]:
-    """For each token of a page what the wrapper says of it; None where it says nothing."""
-    told: list[bool | None] = [None] * len(tokens)
-    places: dict[str, list[int]] = {}
-    for i, (sign, _, _) in enumerate(tokens):
-        places.setdefault(sign, []).append(i)
-    passed = dict.fromkeys(places, 0)
-    at = 0
+def follow(wrapper: list, tokens: list[Token]) -> set[int]:
+    """The tokens of a page that stand in constant slots of the wrapper, and have their texts."""
+    flat = [x for n in wrapper if n[0] != "w" for x in (n[1] if n[0] == "o" else [n])]
+    page = stream(tokens, marked=True)
+    flat, page = _repeated(flat, page), _repeated(page, flat)
+    told: set[int] = set()
 
-    def ahead(sign: str) -> int | None:
-        known = places.get(sign)
-        if known is None:
-            return None
-        k = passed[sign]
-        while k < len(known) and known[k] < at:
-            k += 1
-        passed[sign] = k
-        return known[k] if k < len(known) else None
-
-    def walk(nodes: list) -> None:
-        nonlocal at
-        for n in nodes:
-            if at >= len(tokens):
-                return
-            if n[0] in "cw":
-                continue
-            if n[0] == "t":
-                if tokens[at][0] == n[1]:
-                    at += 1
-                elif (found := ahead(n[1])) is not None and len(tokens[found][2]) <= len(tokens[at][2]):
-                    at = found + 1  # what lies between is not in the wrapper
-            elif n[0] == "x":
-                if tokens[at][0] == "#" and list(tokens[at][2]) == n[1]:
-                    told[at] = bool(n[2])
-                    at += 1
-            else:
-                first = _start(n[1])
-                while at < len(tokens) and tokens[at][0] == first:
-                    before = at
-                    walk(n[1])
-                    if n[0] == "o" or at == before:
-                        break
-
-    walk(wrapper)
+    def walk(known: list, own: list) -> None:
+        for n, m in zip(known, own):
+            if n[0] == "r":
+                walk(n[1], m[1])
+            elif n[0] == "x" and n[2] and len(n[3]) >= CONSTANT_PAGES:
+                told.update(i for i in m[4] if _number(*tokens[i][2], tokens[i][1]) == n[2])
+
+    for kind, a1, a2, b1, b2 in SequenceMatcher(None, [_key(n) for n in flat], [_key(n) for n in page], autojunk=False).get_opcodes():
+        if kind == "equal":
+            walk(flat[a1:a2], page[b1:b2])
     return told
 
 
-def _learned(wrapper: list | None) -> tuple[frozenset[int], dict[int, int]]:
-    """The wrapper's constant blocks, and the elements with the size of their other text."""
-    kinds = {n[0]: n[1] for n in (wrapper or [])[-2:] if n[0] in "cw"}
-    return frozenset(kinds.get("c", ())), dict(kinds.get("w", ()))
+def _learned(wrapper: list | None) -> tuple[bool, dict[int, int]]:
+    """Whether the wrapper has constant slots, and the elements with the size of their text that varies."""
+    weights = wrapper[-1][1] if wrapper and wrapper[-1][0] == "w" else ()
+    return bool(wrapper) and bool(constants(wrapper)), dict(weights)
 
 
 def _container(elements: set[tuple[str, ...]], weights: dict[int, int]) -> tuple[str, ...]:
     """Of the elements that hold the page's text, the one with most of the host's text that varies, or the outermost one
     around it that holds such text as well. Without any it is the whole page."""
-    size = {p: weights.get(_number(*p), 0) for p in elements}
+    size = {p: weights.get(_place(p), 0) for p in elements}
     best = max(sorted(elements, key=lambda p: (len(p), p)), key=size.__getitem__, default=())
     if not size.get(best):
         return ()
     return next(best[:n] for n in range(len(best) + 1) if size.get(best[:n]))
 
 
-def main_text(html: str | None, wrapper: list | None, learned: tuple[frozenset[int], dict[int, int]] | None = None) -> str:
+def main_text(html: str | None, wrapper: list | None, learned: tuple[bool, dict[int, int]] | None = None) -> str:
     """The blocks of main text of a page, in page order, joined by line ends.
 
     With an article or main element it is what lies in it, otherwise what lies in the element with most text that varies;
-    in both cases without what is beside the text, and without texts that are constant over the host. A page that is
-    constant for the most part, in blocks and in characters, is one of many near copies: nothing of it is left out for that.
+    in both cases without what is beside the text, and without what stands in constant slots. In an article, constant
+    paragraphs and headings stay if the element that they lie in holds text that varies. A page that is constant for the
+    most part, in blocks and in characters, is one of many near copies: nothing of it is left out for that.
     """
     if not html:
         return ""
     tokens = tokenize(html)
-    told = follow(wrapper, tokens) if wrapper else [None] * len(tokens)
     constant, weights = learned or _learned(wrapper)
+    told = follow(wrapper, tokens) if constant else ()
     tag = _main_tag(tokens)
-    blocks = []
-    for (sign, text, path), says in zip(tokens, told):
-        if sign == "#" and (says if says is not None else not _side(path)) and (tag is None or _within(path, tag)):
-            blocks.append((path, text, bool(constant) and _number(*path, text) in constant))
+    blocks = [(path, text, i in told) for i, (sign, text, path) in enumerate(tokens) if sign == "#" and not _side(path) and (tag is None or _within(path, tag))]
+    if tag:
+        varied = {path[:n] for path, _, always in blocks if not always for n in (len(path), len(path) - 1)}
+        blocks = [(path, text, always and not (path[-1] in _FLOW and path[:-1] in varied)) for path, text, always in blocks]
     same = [text for _, text, always in blocks if always]
     if 2 * len(same) > len(blocks) and 2 * sum(map(len, same)) > sum(len(text) for _, text, _ in blocks):
         return "\n".join(text for _, text, _ in blocks)
@@ -451,24 +448,22 @@ def host(url: Column) -> Column:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: streams of a host, and blocks of its pages."""
-    seen: set[tuple[str, int]] = set()
+    """Rows of two kinds: streams of a host, those of a batch with equal tags as one, and blocks of its pages."""
     names = ["host", "shape", *_FACTS]
     types = [pa.string(), pa.string(), *[pa.int64()] * len(_FACTS)]
     for b in batches:
         rows: list[tuple] = []
+        found: dict[tuple[str, str], list] = {}
         for own, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             tokens = tokenize(html)
             if not tokens:
                 continue
-            shape = json.dumps(stream(tokens))
-            known = own, hash(shape)
-            if known not in seen:
-                if len(seen) >= 100_000:
-                    seen.clear()  # repeated rows go in the group that follows
-                seen.add(known)
-                rows.append((own, shape, *[None] * len(_FACTS)))
-            rows += [(own, None, *f) for f in facts(tokens)]
+            page, blocks = facts(tokens)
+            nodes = stream(tokens, page)
+            key = own, " ".join(map(_key, nodes))
+            found[key] = [_join(x, y) for x, y in zip(found[key], nodes)] if key in found else nodes
+            rows += [(own, None, *f) for f in blocks]
+        rows += [(own, json.dumps(nodes), *[None] * len(_FACTS)) for (own, _), nodes in found.items()]
         columns = zip(*rows) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -498,23 +493,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
     schema = ", ".join(["host string", "shape string", *(f"{c} long" for c in _FACTS)])
     rows = pages.filter(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), "html")
     rows = written(rows.mapInArrow(_gather, schema), "page-facts")
-    shapes, blocks = _merged(rows.filter(F.col("shape").isNotNull())), rows.filter(F.col("shape").isNull())
-    of = blocks.groupBy("host", "slot").agg(F.count_distinct("page").alias("pages"))
-    often = blocks.groupBy("host", "slot", "block").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= CONSTANT_PAGES)
-    constant = written(often.join(of, ["host", "slot"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).select("host", "block"), "constant-blocks")
-    held = blocks.filter(F.col("element").isNotNull()).groupBy("host", "element", "block").agg(F.min("size").alias("size"))
-    varied = held.join(constant, ["host", "block"], "left_anti")
+    shapes = written(_merged(rows.filter(F.col("shape").isNotNull())), "merged-wrappers")
+    blocks = rows.filter(F.col("shape").isNull())
+
+    def fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(own, block) for own, w in zip(*(x.to_pylist() for x in b.columns)) for block in constants(json.loads(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["host", "block"])
+
+    constant = shapes.mapInArrow(fixed, "host string, block long")
+    varied = blocks.groupBy("host", "element", "block").agg(F.min("size").alias("size")).join(constant, ["host", "block"], "left_anti")
     weights = varied.groupBy("host", "element").agg(F.sum("size").alias("size"))
     weights = weights.groupBy("host").agg(F.collect_list(F.array("element", "size")).alias("weights"))
-    constant = constant.groupBy("host").agg(F.collect_list("block").alias("constant"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [json.dumps(judge(json.loads(w), c or [], s or [])) for _, w, c, s in zip(*(x.to_pylist() for x in b.columns))]
+            found = [json.dumps([*json.loads(w), ["w", sorted(s or [])]]) for _, w, s in zip(*(x.to_pylist() for x in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["host", "wrapper"])
 
-    whole = shapes.join(constant, "host", "left").join(weights, "host", "left").select("host", "wrapper", "constant", "weights")
-    return whole.mapInArrow(add, "host string, wrapper string")
+    return shapes.join(weights, "host", "left").select("host", "wrapper", "weights").mapInArrow(add, "host string, wrapper string")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -298,9 +298,38 @@ def test_constant_text_inside_articles_is_no_main_text(spark):
     notice = "<div class=hinweis>Dieser Hinweis steht auf allen Seiten und ist lang</div>"
     for tag in ("article", "main"):
         pages = [f"<{tag}><h1>T{i}</h1><p>story {i}</p>{notice}<p>more of {i}</p><p>Write to us</p></{tag}>" for i in range(6)]
-        want = [f"T{i}\nstory {i}\nmore of {i}" for i in range(6)]
+        # The notice is a slot of its own; the last paragraph is one turn of a group of paragraphs, whose texts vary.
+        want = [f"T{i}\nstory {i}\nmore of {i}\nWrite to us" for i in range(6)]
         assert texts_of(spark, pages) == want
         assert [H.main_text(h, H.infer(pages)) for h in pages] == want
+        assert all(H.main_text(h, None) != w for h, w in zip(pages, want))
+
+
+def test_slots_decide_between_blocks_of_one_path(spark):
+    body = "<div>first of {0}</div><div>second of {0}</div>"
+    notices = [f"<article><h1>T{i}</h1><div>Subscribe now</div><h2>S{i}</h2>{body.format(i)}</article>" for i in range(5)]
+    assert texts_of(spark, notices) == [f"T{i}\nS{i}\nfirst of {i}\nsecond of {i}" for i in range(5)]
+    bylines = [f"<article><h1>T{i}</h1><div>By the newsroom</div>{body.format(i)}</article>" for i in range(5)]
+    assert texts_of(spark, bylines) == [f"T{i}\nBy the newsroom\nfirst of {i}\nsecond of {i}" for i in range(5)]
+    assert texts_of(spark, notices[:2]) == [H.main_text(h, None) for h in notices[:2]]  # two pages tell nothing
+
+
+def test_bylines_and_headings_of_all_pages_stay(spark):
+    pages = [f"<article><h1>T{i}</h1><p>By the newsroom</p><h2>Summary</h2><p>s{i}</p><div class=x><h4>Hint</h4><p>Call us</p></div><h2>More</h2><p>m{i}</p><p>n{i}</p></article>" for i in range(5)]
+    pages[4] = pages[4].replace("<h2>More</h2>", "")
+    want = [f"T{i}\nBy the newsroom\nSummary\ns{i}\nMore\nm{i}\nn{i}" for i in range(5)]
+    want[4] = want[4].replace("More\n", "")
+    assert texts_of(spark, pages) == want
+
+
+def test_long_groups_fold():
+    row = "<section>" + "".join(f"<h{1 + j % 6}>{{0}}.{j}</h{1 + j % 6}><p>{{0}} {j}</p>" for j in range(12)) + "</section>"
+    one, many = (H.stream(H.tokenize("<main>" + "".join(row.format(i) for i in range(n)) + "</main>")) for n in (1, 9))
+    assert [n[0] for n in many] == ["t", "r", "t"]
+    assert H.merge([one, many]) == H.merge([many, one])
+    pairs = H.stream(H.tokenize("<dl>" + "<dt>a</dt><dd>b</dd>" * 7 + "</dl>"), 5)
+    assert [n[0] for n in pairs] == ["t", "r", "t"] and [n[2] != 0 for n in H._slots(pairs)] == [True, True]
+    assert [n[2] for n in H._slots(H.stream(H.tokenize("<ul><li>a<li>b</ul>"), 5))] == [0]
 
 
 def hostile_pages(spark):
