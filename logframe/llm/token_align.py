@@ -6,7 +6,8 @@ that overlap. Where tokens of both sides end at one byte, a group ends.
 
 Neither tokenizer joins anything across a single space between plain characters (side A starts a pre-token there, and no
 piece of side B has a space mark behind another character), so a worker encodes each such segment once and keeps its
-tokens in a bounded cache.
+tokens in a bounded cache. Texts are read and encoded in one pass, which counts pairs of ids as well and writes the ids
+of every document; the second pass reads those.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +157,7 @@ class Tokens:
     """Tokens of both sides for segments. Beyond ``cache_tokens`` of a side those that came once are forgotten, or all."""
 
     def __init__(self, path_a: str, path_b: str, cache_tokens: int = CACHE_TOKENS):
-        self.sides, self.cache_tokens = (_Side(path_a), _Side(path_b)), cache_tokens
+        self.sides, self.cache_tokens = _sides(path_a, path_b), cache_tokens
         self.forget()
 
     def forget(self, keep: np.ndarray | None = None) -> None:
@@ -220,6 +223,11 @@ class Tokens:
 _TOKENS: dict[tuple[str, str], Tokens] = {}
 
 
+@lru_cache(4)
+def _sides(path_a: str, path_b: str) -> tuple[_Side, _Side]:
+    return _Side(path_a), _Side(path_b)
+
+
 def _tokens(path_a: str, path_b: str) -> Tokens:
     if (path_a, path_b) not in _TOKENS:
         _TOKENS[path_a, path_b] = Tokens(path_a, path_b)
@@ -227,18 +235,14 @@ def _tokens(path_a: str, path_b: str) -> Tokens:
 
 
 class Aligned:
-    """The tokens of some documents, aligned. ``of``: numbers of segments; ``doc``: the document of each segment."""
-
-    def __init__(self, tokens: Tokens, of: np.ndarray, doc: np.ndarray, n_docs: int):
-        self.n_docs = n_docs
-        self.ids, self.doc, self.start = [], [], []
-        for side in (0, 1):
-            ids, counts = tokens.gather(side, of)
-            lengths = tokens.sides[side].lengths[ids]
-            end = np.cumsum(lengths)  # both sides cut the same bytes, so places count through all documents
-            self.ids.append(ids)
-            self.doc.append(np.repeat(doc, counts))
-            self.start.append(end - lengths)
+    """The tokens of some documents, aligned, from each side's ids and the document of each id. Both sides cut the same
+    bytes, so places count through all documents."""
+
+    def __init__(self, sides: tuple[_Side, _Side], ids: list[np.ndarray], doc: list[np.ndarray], n_docs: int):
+        self.n_docs, self.ids, self.doc, self.start = n_docs, ids, doc, []
+        for side, own in zip(sides, ids):
+            lengths = side.lengths[own]
+            self.start.append(np.cumsum(lengths) - lengths)
         covering_a, covering_b = self._covering(0), self._covering(1)
         # Tokens that start at one byte start a group: the other side's token before it ends there as well.
         opens = [self.start[1][covering_a] == self.start[0], self.start[0][covering_b] == self.start[1]]
@@ -264,8 +268,8 @@ class Aligned:
 class _Digits:
     """The decimal digits of each id with the mark that follows it in a list of groups: inside a side, or at its end."""
 
-    def __init__(self, tokens: Tokens):
-        sizes = [len(side.bytes) for side in tokens.sides]
+    def __init__(self, sides: tuple[_Side, _Side]):
+        sizes = [len(side.bytes) for side in sides]
         self.of = [np.array([f"{i}{m}" for i in range(n) for m in marks], object) for n, marks in zip(sizes, (",|", ",;"))]
 
     def texts(self, aligned: Aligned) -> list[str]:
@@ -310,23 +314,54 @@ def _pair(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     return a.astype(np.int64) * width + b
 
 
-def _counted(paths: tuple[str, str]):
-    """Links of each pair of ids in a run of documents. Equal segments are aligned once and count as often as they occur."""
+def _id_type(side: _Side) -> type:
+    return np.uint16 if len(side.bytes) <= 1 << 16 else np.int32
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(paths: tuple[str, str], schema: pa.Schema):
+    """Rows of two kinds: every row with its ids in place of the text, and links of each pair of ids in a run of rows.
+
+    Equal segments are aligned once and count as often as they occur.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(*paths)
         width = len(tokens.sides[1].bytes)
-        for _, texts in _documents(batches, 4 * BATCH_BYTES):
-            numbers, _ = _segmented(tokens, texts)
+        for rows, texts in _documents(batches, 4 * BATCH_BYTES):
+            numbers, doc = _segmented(tokens, texts)
+            kept = [rows.column(i) for i in range(rows.num_columns - 1)]
+            ids = []
+            for side in (0, 1):
+                own, counts = tokens.gather(side, numbers)
+                size = np.bincount(doc, weights=counts, minlength=len(texts)).astype(np.int64)
+                raw, cuts = own.astype(_id_type(tokens.sides[side])), np.cumsum(size).tolist()
+                ids.append(pa.array([raw[lo:hi].tobytes() for lo, hi in zip([0, *cuts], cuts)], pa.binary()))
+            none = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, *ids, *none], schema=schema)
             if len(numbers):
                 once, times = np.unique(numbers, return_counts=True)
-                found = Aligned(tokens, once, np.arange(len(once)), len(once))
+                both = [tokens.gather(side, once) for side in (0, 1)]
+                found = Aligned(tokens.sides, [x for x, _ in both], [np.repeat(np.arange(len(once)), n) for _, n in both], len(once))
                 pairs, at = np.unique(_pair(found.link_a, found.link_b, width), return_inverse=True)
                 links = np.bincount(at, weights=times[found.link_doc]).astype(np.int64)
-                b = (pairs % width).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(b), pa.array(links)], ["pair", "b", "links"])
+                counts = [pa.array(pairs), pa.array((pairs % width).astype(np.int32)), pa.array(links)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), f.type) for f in list(schema)[:-3]), *counts], schema=schema)
 
-    return count
+    return encode
+
+
+def _id_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of so many bytes of ids (the last two columns)."""
+    for batch in batches:
+        held, first = 0, 0
+        sizes = [pc.binary_length(batch.column(batch.num_columns - i)).to_numpy(zero_copy_only=False) for i in (1, 2)]
+        for at, n in enumerate((sizes[0] + sizes[1]).tolist()):
+            if held and held + n > size:
+                yield batch.slice(first, at - first)
+                first, held = at, 0
+            held += n
+        if first < batch.num_rows:
+            yield batch.slice(first)
 
 
 _FACTS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, pairs array<long>, times array<long>"
@@ -336,17 +371,20 @@ def _facts(paths: tuple[str, str], table, schema: pa.Schema, with_groups: str):
     """Counts of each document by the table of frequent pairs, and the pairs that it lacks with how often they occur."""
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(*paths)
-        width, digits = len(tokens.sides[1].bytes), _Digits(tokens)
+        sides = _sides(*paths)
+        width, digits = len(sides[1].bytes), _Digits(sides)
         keys, links, best = table.value
         frequent = pd.Index(keys)
-        for rows, texts in _documents(batches, BATCH_BYTES):
-            n = len(texts)
-            numbers, doc = _segmented(tokens, texts)
+        for rows in _id_runs(batches, BATCH_BYTES):
+            n, ids, doc = rows.num_rows, [], []
+            for i, side in enumerate(sides):
+                raw = rows.column(rows.num_columns - 2 + i).to_pylist()
+                ids.append(np.frombuffer(b"".join(raw), _id_type(side)).astype(np.int32))
+                doc.append(np.repeat(np.arange(n), [len(x) // _id_type(side)().itemsize for x in raw]))
             n_a = n_b = n_groups = n_links = n_best = total = np.zeros(n, np.int64)
             groups, rest, times, rest_of = [""] * n, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(n, np.int64)
-            if len(numbers):
-                found = Aligned(tokens, numbers, doc, n)
+            if len(ids[0]):
+                found = Aligned(sides, ids, doc, n)
                 n_groups, n_links = found.n_groups, np.bincount(found.link_doc, minlength=n)
                 n_a, n_b, groups = found.count(0), found.count(1), digits.texts(found)
                 if with_groups == "sha256":
@@ -365,19 +403,17 @@ def _facts(paths: tuple[str, str], table, schema: pa.Schema, with_groups: str):
             ends = pa.array(np.concatenate([[0], np.cumsum(rest_of)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (rest, times)]
             counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links, n_best, total)]
-            kept = [rows.column(i) for i in range(rows.num_columns - 1)]
+            kept = [rows.column(i) for i in range(rows.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*kept, *counts, pa.array(groups, pa.string()), *lists], schema=schema)
 
     return facts
 
 
-def pair_counts(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B) -> DataFrame:
+def _pair_counts(found: DataFrame) -> DataFrame:
     """Links of each pair of ids over all texts, and whether no other pair of its B id has more; ties are best alike.
 
     Columns pair (the A id times the size of side B, plus the B id), links, best.
     """
-    paths = (tokenizer_path(side_a), tokenizer_path(side_b))
-    found = docs.select("text").mapInArrow(_counted(paths), "pair long, b int, links long")
     pairs = written(found.groupBy("pair").agg(F.first("b").alias("b"), F.sum("links").alias("links")), "pairs")
     most = pairs.groupBy("b").agg(F.max("links").alias("most"))  # a row for each B id
     return pairs.join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
@@ -408,21 +444,28 @@ def align_tokens(
     sha256 of that with ``groups="sha256"``.
 
     The counts of the ``table_pairs`` most frequent pairs go to every worker (16 bytes a pair); rarer ones are joined in a
-    shuffle, so no frequent pair is a key there. Texts are read twice and never moved.
+    shuffle, so no frequent pair is a key there. Texts are read and encoded once and never moved; the ids of all
+    documents, about as large as the texts, are written to the shared folder for the second pass.
 
     Null and empty texts, and texts that a side does not give back byte by byte, have no tokens: zeros and an empty string.
     A very long text is one batch and is never cut. Repeated rows are rows of their own and all count; a null or repeated
     doc_id is a value like any other. Other columns of any name are left alone. An empty table gives an empty table.
     """
     spark, paths = docs.sparkSession, (tokenizer_path(side_a), tokenizer_path(side_b))
-    counts = written(pair_counts(docs, side_a, side_b), "pair-counts")
+    source = docs.select(*keep, "text")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    inner = [unused(n, source) for n in ("ids_a", "ids_b", "pair", "b", "links")]
+    types = ("binary", "binary", "long", "int", "long")
+    both = spark.createDataFrame([], kept + ", ".join(f"{n} {t}" for n, t in zip(inner, types))).schema
+    encoded = written(source.mapInArrow(_encoded(paths, _arrow(both)), both), "token-ids")
+    found = encoded.filter(F.col(inner[2]).isNotNull()).select(*(F.col(c).alias(n) for c, n in zip(inner[2:], ("pair", "b", "links"))))
+    counts = written(_pair_counts(found), "pair-counts")
     least, table = _frequent(counts, table_pairs)
     held = table.toPandas().sort_values("pair")
     arrays = (held["pair"].to_numpy(np.int64), held["links"].to_numpy(np.int64), held["best"].to_numpy(bool))
-    source = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    out = spark.createDataFrame([], f"{kept}, {_FACTS}").schema
-    facts = source.mapInArrow(_facts(paths, spark.sparkContext.broadcast(arrays), _arrow(out), groups), out)
+    out = spark.createDataFrame([], kept + _FACTS).schema
+    rows = encoded.filter(F.col(inner[2]).isNull()).select(*keep, *inner[:2])
+    facts = rows.mapInArrow(_facts(paths, spark.sparkContext.broadcast(arrays), _arrow(out), groups), out)
     if least is None:
         return facts.drop("pairs", "times")
     return _with_rare(facts, counts.filter(F.col("links") < least), out)
