@@ -36,7 +36,7 @@ TABLE_PAIRS = 1 << 21
 #: Bytes of text that are aligned at a time; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 #: A worker's cache starts anew beyond so many tokens of a side.
-CACHE_TOKENS = 3 << 20
+CACHE_TOKENS = 3 << 19
 
 _PLAIN = "!-~\xa1-\xac\xae-ɏ"
 _CUT = re.compile(f" (?<=[{_PLAIN}] )(?=[{_PLAIN}])")
@@ -327,7 +327,7 @@ def _encoded(paths: tuple[str, str], schema: pa.Schema):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(*paths)
         width = len(tokens.sides[1].bytes)
-        for rows, texts in _documents(batches, 4 * BATCH_BYTES):
+        for rows, texts in _documents(batches, BATCH_BYTES):
             numbers, doc = _segmented(tokens, texts)
             kept = [rows.column(i) for i in range(rows.num_columns - 1)]
             ids = []
