@@ -1,9 +1,10 @@
 """Quality rules: counts on words and lines, and bands of n-gram perplexity for each language.
 
-A modified Kneser-Ney model of character 4-grams is counted over all documents of a language. Characters fall into 64
-classes (letters by case, digits, space, line end, kinds of punctuation, other letters by three), so an n-gram is a
-24-bit number: that is its hash, without collisions, and a language has at most 16.8 million of them. The model keeps
-them in sorted arrays with the logarithm of the probability. Every task counts its own documents and hands on sums.
+A modified Kneser-Ney model of character 4-grams is counted over all documents of a language. Characters are UTF-16 code
+units as they stand in the text, none folded with another, so an n-gram is a 64-bit number: that is its hash, without
+collisions. Counts, lower orders and probabilities are grouped and joined by Spark. The most frequent n-grams are broadcast to
+score the texts; a text's other n-grams are joined with the model. Log probabilities are whole multiples of 1 / SCALE, so that
+a text's sum does not depend on the way.
 
 A document's perplexity must lie in the band of its language: the quartiles over all documents that pass the plain rules,
 widened by BAND times their distance on either side.
@@ -15,57 +16,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logframe.llm.common import written
 
-ORDER, CLASSES = 4, 64
+ORDER, CLASSES = 4, 1 << 16
 #: Distances between the quartiles that the band reaches beyond them.
 BAND = 4.0
 #: The least distance between the quartiles of log perplexity that a band is built on.
 LEAST_SPREAD = 0.01
 #: Documents of null language are a language of their own.
 NO_LANGUAGE = "und"
-#: Models are broadcast in groups of languages of at most so many n-grams (8 bytes each); one language alone may reach
-#: CLASSES ** ORDER n-grams, 134 MB.
-GROUP = 8_000_000
+#: At most so many n-grams of all languages, the most frequent ones, are broadcast (12 bytes each).
+GROUP = 4_000_000
 CHUNK = 2_000_000
+SCALE = 1 << 20
 
 _WORD_SPACE = "".join(map(chr, [32, *range(9, 14)]))
 _SYMBOLS = "#*$%&|<>"
-_classes: np.ndarray | None = None
-
-
-def character_classes() -> np.ndarray:
-    """The class of every code point."""
-    global _classes
-    if _classes is None:
-        out = np.full(0x110000, 63, np.uint8)
-        for i in range(0x110000):
-            ch = chr(i)
-            if ch.isalpha():
-                out[i] = 60 + i % 3
-            elif ch.isspace():
-                out[i] = 0
-            elif ch.isdigit():
-                out[i] = 54
-        for n, chars in enumerate((".", ",", "!?", "\"'()-;:/_[]{}", _SYMBOLS + "@^~+=\\`"), 55):
-            out[[ord(c) for c in chars]] = n
-        out[ord("\n")] = 1
-        out[ord("a") : ord("z") + 1] = np.arange(2, 28)
-        out[ord("A") : ord("Z") + 1] = np.arange(28, 54)
-        _classes = out
-    return _classes
+_GAPS = "array<struct<ngram: bigint, times: bigint>>"
 
 
 def ngrams(text: str) -> np.ndarray:
     """The n-gram that each character ends; the first ones are preceded by line ends."""
-    codes = character_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    codes = np.concatenate([np.ones(ORDER - 1, np.uint32), codes.astype(np.uint32)])
+    codes = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
     keys = codes[: len(codes) - ORDER + 1].copy()
     for i in range(1, ORDER):
-        keys = keys * np.uint32(CLASSES) + codes[i : len(codes) - ORDER + 1 + i]
+        keys = keys << np.uint64(16) | codes[i : len(codes) - ORDER + 1 + i]
     return keys
 
 
@@ -100,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = _sums(parts)
         for at in range(0, len(keys), 50_000):
             k, n = keys[at : at + 50_000], counts[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(n)], ["lang", "ngram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n)], ["lang", "ngram", "n"])
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
@@ -121,13 +100,14 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log probabilities of the counted n-grams, interpolated with all lower orders; keys must ascend.
 
+    The model of one language in one process: what ``train``, which leaves the work to Spark, is measured by.
     Lower orders count the distinct characters that stand before an n-gram, not how often it stands.
     """
-    levels = [(keys.astype(np.int64), counts.astype(np.float64))]
+    levels = [(keys.astype(np.uint64), counts.astype(np.float64))]
     for order in range(ORDER - 1, 0, -1):
         rest, before = np.unique(levels[-1][0] % CLASSES**order, return_counts=True)
         levels.append((rest, before.astype(np.float64)))
-    lower_keys, lower = np.arange(CLASSES), np.full(CLASSES, 1 / CLASSES)
+    lower_keys, lower = np.arange(CLASSES, dtype=np.uint64), np.full(CLASSES, 1 / CLASSES)
     for order, (k, c) in enumerate(reversed(levels), 1):
         give = _discounts(c)[np.minimum(c, 3).astype(int)]
         context, start = np.unique(k // CLASSES, return_index=True)
@@ -138,18 +118,41 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log(lower).astype(np.float32)
 
 
-def train(counts: DataFrame) -> DataFrame:
-    """A row for each language: lang, size, and the sorted n-grams (u32) and their log probabilities (f32)."""
-    names = ["lang", "size", "keys", "logs"]
+def _last(n: int) -> Column:
+    """The last n characters of an n-gram."""
+    return F.col("ngram").bitwiseAND(F.lit((1 << 16 * n) - 1))
+
 
-    def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("ngram")
-        keys = rows.column("ngram").to_numpy()
-        logs = kneser_ney(keys, rows.column("n").to_numpy())
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([len(keys)], pa.int64()), pa.array([keys.astype("<u4").tobytes()]), pa.array([logs.astype("<f4").tobytes()])], names)
+def _given() -> list[Column]:
+    """What counts of 1, 2 and 3 or more give up, over a language's n-grams of one order; see ``_discounts``."""
+    n = [F.count_if(F.col("n") == i).cast("double") for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    known = (n[0] > 0) & (n[1] > 0)
+    cut = [F.least(F.lit(float(i)), F.greatest(F.lit(0.1), F.lit(float(i)) - (i + 1) * y * n[i] / F.greatest(n[i - 1], F.lit(1.0)))) for i in (1, 2, 3)]
+    return [F.when(known, c).otherwise(0.5).alias(f"give{i}") for i, c in enumerate(cut, 1)]
 
-    # a group is one language's distinct n-grams, bounded by the classes, whatever its share of the rows
-    return counts.groupBy("lang").applyInArrow(fit, "lang string, size long, keys binary, logs binary")
+
+def train(counts: DataFrame) -> DataFrame:
+    """lang, ngram, n and cost (minus the log probability, times SCALE) of all counted n-grams, as ``kneser_ney`` has them."""
+    levels = [counts]
+    for order in range(ORDER - 1, 0, -1):
+        levels.append(levels[-1].groupBy("lang", _last(order).alias("ngram")).agg(F.count(F.lit(1)).alias("n")))
+    below = None
+    for order, level in enumerate(reversed(levels), 1):
+        # at most 65,536 rows stand behind the same characters
+        rows = level.withColumn("context", F.shiftrightunsigned("ngram", 16))
+        same = Window.partitionBy("lang", "context")
+        sums = [F.sum("n").over(same).alias("total"), *(F.sum((F.least(F.col("n"), F.lit(3)) == i).cast("long")).over(same).alias(f"of{i}") for i in (1, 2, 3))]
+        rows = rows.select("lang", "ngram", "n", *sums).join(level.groupBy("lang").agg(*_given()), "lang")
+        own = F.when(F.col("n") == 1, F.col("give1")).when(F.col("n") == 2, F.col("give2")).otherwise(F.col("give3"))
+        given = F.col("of1") * F.col("give1") + F.col("of2") * F.col("give2") + F.col("of3") * F.col("give3")
+        if below is None:
+            lower = F.lit(1 / CLASSES)
+        else:
+            rows = rows.withColumn("rest", _last(order - 1)).join(below.select("lang", F.col("ngram").alias("rest"), F.col("p").alias("lower")), ["lang", "rest"])
+            lower = F.col("lower")
+        below = rows.select("lang", "ngram", "n", ((F.col("n") - own) / F.col("total") + given / F.col("total") * lower).alias("p"))
+    return below.select("lang", "ngram", "n", F.round(-F.log("p") * SCALE).cast("int").alias("cost"))
 
 
 def _lines_and_words(text: str) -> tuple[int, int, int, int, int]:
@@ -198,18 +201,39 @@ def _split_words(text: str) -> list[str]:
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _costs(known: tuple[np.ndarray, np.ndarray] | None, own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The sum over the n-grams that are known, and the others with their times."""
+    own.sort()
+    if known is None:
+        missing, cost = own, 0
+    else:
+        keys, costs = known
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        found = keys[at] == own
+        cost = int(costs[at[found]].sum(dtype=np.int64))
+        missing = own[~found]
+    ngram, times = np.unique(missing, return_counts=True)
+    return cost, ngram.view(np.int64), times
+
+
 def _scorer(models, keep: int):
+    names = [*(f"kept{i}" for i in range(keep)), "row", "lang", *_BASE, "units", "cost"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {lang: (np.frombuffer(k, "<u4"), np.frombuffer(p, "<f4")) for lang, (k, p) in models.value.items()}
+        known = {lang: (np.frombuffer(k, "<u8"), np.frombuffer(c, "<i4")) for lang, (k, c) in models.value.items()}
         for b in batches:
-            rows = []
-            for lang, text in zip(b.column(keep).to_pylist(), b.column(keep + 1).to_pylist()):
-                keys, logs = known[lang]
+            rows, ends, gaps = [], [0], []
+            for lang, text in zip(b.column(keep + 1).to_pylist(), b.column(keep + 2).to_pylist()):
                 own = ngrams(text)
-                mean = -float(logs[np.searchsorted(keys, own)].mean(dtype=np.float64)) if len(own) else None
-                rows.append((*_lines_and_words(text), mean))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.float64()])] if rows else [pa.array([], t) for t in [*[pa.int64()] * 5, pa.float64()]]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep + 1)), *columns], [*(f"kept{i}" for i in range(keep)), "lang", *_BASE, "log_perplexity"])
+                cost, ngram, times = _costs(known.get(lang), own)
+                rows.append((*_lines_and_words(text), len(own), cost))
+                gaps.append((ngram, times))
+                ends.append(ends[-1] + len(ngram))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (len(_BASE) + 2))]
+            parts = [np.concatenate([np.zeros(0, np.int64), *(g[i] for g in gaps)]) for i in (0, 1)]
+            pairs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in parts], ["ngram", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep + 2)), *columns, lists], [*names, "gaps"])
 
     return score
 
@@ -217,29 +241,34 @@ def _scorer(models, keep: int):
 def scored(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, the language, the plain counts and the log perplexity a character (null for an empty text)."""
     spark = docs.sparkSession
-    models = written(train(ngram_counts(docs)), "ngram-models")
-    groups: list[list[str]] = []
-    room = 0
-    for lang, size in models.select("lang", "size").orderBy("lang").collect():  # a row for each language
-        if not groups or size > room:
-            groups.append([])
-            room = GROUP
-        groups[-1].append(lang)
-        room -= size
+    model = written(train(written(ngram_counts(docs), "ngram-counts")), "ngram-model")
+    whole = model.count() <= GROUP
+    top = model if whole else model.orderBy(F.desc("n"), "lang", "ngram").limit(GROUP)
+    held: dict[str, tuple[bytes, bytes]] = {}
+    found = top.select("lang", "ngram", "cost").toArrow()  # at most GROUP rows
+    for lang in found.column("lang").unique().to_pylist():
+        rows = found.filter(pc.equal(found.column("lang"), lang))
+        keys = rows.column("ngram").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        held[lang] = keys[order].astype("<u8").tobytes(), rows.column("cost").to_numpy()[order].astype("<i4").tobytes()
+    shared = spark.sparkContext.broadcast(held)
     names = [f"kept{i}" for i in range(len(keep))]
     source = docs.select(
-        *(F.col(c).alias(n) for c, n in zip(keep, names)), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
+        *(F.col(c).alias(n) for c, n in zip(keep, names)),
+        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
     types = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = ", ".join([*(f"{n} {types[n]}" for n in [*names, "lang"]), *(f"{c} long" for c in _BASE), "log_perplexity double"])
-    out = spark.createDataFrame([], schema)
-    for i, group in enumerate(groups):
-        held = {r["lang"]: (bytes(r["keys"]), bytes(r["logs"])) for r in models.filter(F.col("lang").isin(group)).collect()}
-        shared = spark.sparkContext.broadcast(held)
-        rows = source if len(groups) == 1 else source.filter(F.col("lang").isin(group))
-        each = rows.mapInArrow(_scorer(shared, len(keep)), schema)
-        out = each if i == 0 else out.unionByName(each)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), F.col("lang"), *_BASE, "log_perplexity")
+    schema = ", ".join([*(f"{n} {types[n]}" for n in [*names, "row", "lang"]), *(f"{c} long" for c in [*_BASE, "units", "cost"]), f"gaps {_GAPS}"])
+    out = source.mapInArrow(_scorer(shared, len(keep)), schema)
+    if not whole:
+        out = written(out, "scores")
+        gaps = out.select("row", "lang", F.inline("gaps")).join(model.select("lang", "ngram", F.col("cost").alias("each")), ["lang", "ngram"])
+        more = gaps.groupBy("row").agg(F.sum(F.col("times") * F.col("each")).alias("more"))
+        out = out.join(more, "row", "left").withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0)))
+    mean = F.when(F.col("units") > 0, F.col("cost") / F.col("units") / SCALE)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), F.col("lang"), *_BASE, mean.alias("log_perplexity"))
 
 
 def quality_rules(docs: DataFrame, band: float = BAND) -> DataFrame:
@@ -256,6 +285,6 @@ def quality_rules(docs: DataFrame, band: float = BAND) -> DataFrame:
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)) * band
     bands = bands.select("lang", (F.col("q")[0] - spread).alias("low"), (F.col("q")[1] + spread).alias("high"))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    joined = rows.join(bands, "lang", "left")
+    joined = rows.join(F.broadcast(bands), "lang", "left")  # a row for each language
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return joined.select("doc_id", *_BASE, "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"), "lang")

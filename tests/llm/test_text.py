@@ -175,6 +175,32 @@ def test_languages_in_several_groups(spark, monkeypatch):
     assert Counter(map(tuple, X.scored(docs).collect())) == one
 
 
+def test_characters_are_not_folded(spark):
+    """Letters, digits and signs that shared a class (the code point by three, one class of digits) have their own n-grams."""
+    for a, b in (("1", "7"), ("é", "ì"), ("中", "丰"), ("\U0001f600", "\U0001f601"), ("(", ";")):
+        assert set(X.ngrams(a).tolist()) != set(X.ngrams(b).tolist())
+    docs = spark.createDataFrame([(i, "de", "tag é 1 (a) " * 30) for i in range(20)] + [(20, "de", "tag ì 7 ;a; " * 30)], "doc_id long, lang string, text string")
+    logs = {r.doc_id: r.log_perplexity for r in X.scored(docs).collect()}
+    assert logs[20] > logs[0] + 0.1
+
+
+@pytest.mark.parametrize("broadcast", [0, 5, 10**6])
+def test_spark_trains_and_scores_the_model_of_one_process(spark, monkeypatch, broadcast):
+    texts = [r[1] or "" for r in hostile_rows()] + ["ünï 中文 \U0001f600\U00010400 " * 3]
+    docs = spark.createDataFrame([(i, str(i % 2), t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    want = {}
+    for lang in "01":
+        keys, counts = np.unique(np.concatenate([X.ngrams(t) for t in texts[int(lang) :: 2]]), return_counts=True)
+        want |= {(lang, k): v for k, v in zip(keys.view(np.int64).tolist(), X.kneser_ney(keys, counts).tolist())}
+    got = {(r.lang, r.ngram): -r.cost / X.SCALE for r in X.train(X.ngram_counts(docs)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-4) for k in want)
+    monkeypatch.setattr(X, "GROUP", broadcast)
+    for r in X.scored(docs).collect():
+        own = X.ngrams(texts[r.doc_id]).view(np.int64).tolist()
+        mean = -sum(want[str(r.doc_id % 2), k] for k in own) / len(own) if own else None
+        assert (r.log_perplexity is None) == (mean is None) and (mean is None or math.isclose(r.log_perplexity, mean, abs_tol=1e-3))
+
+
 # Pages
 
 
