@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,9 @@ from logframe.functions import patterns as P
 from logframe.schema import CATALOG_SCHEMA
 
 SAFE_NAME = re.compile(r"[a-zA-Z0-9._-]+")
+#: Tasks of one listing.
+LISTING_TASKS = 200
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 @dataclass(frozen=True)
@@ -76,17 +80,31 @@ def find_service(catalog: Catalog, name: str) -> Service | None:
     return next((s for s in catalog if s.name == name), None)
 
 
+@contextmanager
+def _few_listing_tasks() -> Iterator[None]:
+    """Listings in at most so many tasks; Spark's default is a task for each folder, which costs more than the listing."""
+    conf = SparkSession.active().conf
+    before = conf.get(_LISTING)
+    conf.set(_LISTING, str(min(int(before), LISTING_TASKS)))
+    try:
+        yield
+    finally:
+        conf.set(_LISTING, before)
+
+
 def load_existing(reader: DataFrameReader, paths: Iterable[str]) -> DataFrame | None:
     """``reader.load`` of the paths that exist, or None where none does."""
     paths = list(dict.fromkeys(paths))
     try:
-        return reader.load(paths) if paths else None
+        with _few_listing_tasks():
+            return reader.load(paths) if paths else None
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     # Something is absent: look at each path.
     found = [p for p in paths if len(paths) > 1 and load_existing(reader, [p]) is not None]
-    return reader.load(found) if found else None
+    with _few_listing_tasks():
+        return reader.load(found) if found else None
 
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"

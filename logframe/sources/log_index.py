@@ -43,7 +43,10 @@ def log_index(spark: SparkSession, catalog: Catalog, known: DataFrame | None = N
     """The side table of the services' logs. Rows of ``known`` (an older table) are taken over for files that did not change."""
     listed = _listed(spark, catalog).drop("service").distinct()
     unknown = listed if known is None else listed.join(known.select(*_same_file(known)).distinct(), _same_file(known), "left_anti")
-    paths = [escaped(r.path) for r in unknown.select("path").collect()]  # Spark's own listing of them is on the driver as well
+    if known is None:
+        paths = [s.log_file for s in catalog]
+    else:
+        paths = [escaped(r.path) for r in unknown.select("path").collect()]  # Spark's own listing of them is on the driver as well
     scan = BlockScan(read_log_lines(spark, paths), unknown.withColumn("service", F.lit(None).cast("string")))
     # The parser carries the line number along: here it is the number of the entry.
     entries = parse_entries(scan.blocks().withColumn("line_number", F.col("entry_seq"))).select("file_path", F.col("line_number").alias("seq"), "ts")

@@ -607,7 +607,7 @@ def log_index(spark, sf_dir):
 @query
 def search_by_index(spark, sf_dir):
     index = L.read_log_index(spark, index_path(spark, sf_dir))
-    return placed(L.search(spark, live_catalog(spark, sf_dir), index=index, limit=0, **SEARCH).page)
+    return placed(L.search(spark, live_catalog(spark, sf_dir), index=index, **SEARCH).view)
 
 
 @query
