@@ -18,6 +18,8 @@ from logframe.operators.filters import Moment, time_range
 
 TIE = ("ts_nano_rem", "service", "file_path", "file_offset")
 _CHUNK_BYTES = 64 * 1024 * 1024
+#: Up to so many rows a cap needs no bound: every task's first k rows cost less than a pass over all times.
+UNBOUNDED_CAP = 1000
 # Services whose window edges (about 200 bytes each) are broadcast.
 _MAX_SERVICES = 100_000
 
@@ -56,7 +58,7 @@ def numbered(df: DataFrame, path: str, order: str = "desc") -> DataFrame:
 
 
 def _time_bound(df: DataFrame, order: str, k: int) -> tuple[Column, Column]:
-    """The time beyond which no row can be among the first k, and whether all timed rows are."""
+    """The time beyond which no row can be among the first k, and the number of timed rows, from one pass."""
     minute = [F.to_date("ts").alias("day"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute")]
     counts = (
         df.filter(F.col("ts").isNotNull())
@@ -65,10 +67,12 @@ def _time_bound(df: DataFrame, order: str, k: int) -> tuple[Column, Column]:
     )
     # One row per minute of log time, whatever the number of entries.
     running = Window.orderBy(_directed("day", order), _directed("minute", order))
-    cut = counts.withColumn("before", F.sum("n").over(running) - F.col("n")).filter(F.col("before") < k)
-    edge = cut.agg(F.max("edge") if is_asc(order) else F.min("edge"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)))
-    return edge.scalar(), total.scalar()
+    cut = counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
+    # All minutes count for the total, those before the k-th row for the edge: one subquery, as each would read the rows.
+    near = F.when(F.col("before") < k, F.col("edge"))
+    edge = F.max(near) if is_asc(order) else F.min(near)
+    both = cut.agg(F.struct(edge.alias("edge"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).scalar()
+    return both["edge"], both["total"]
 
 
 def cap_entries(
@@ -84,13 +88,13 @@ def cap_entries(
     Entries without a time never take the place of one with a time. With ``keep_null_ts`` (live search) all of
     them stay beside the k, outside any top-k; otherwise (search in one rotated file) they fill what is left of
     the k. ``bounded`` finds the time of the k-th row first, at the price of reading ``ts`` twice, so that no
-    task has k rows of every other to merge; switch it off for a small k.
+    task has k rows of every other to merge; a k of at most ``UNBOUNDED_CAP`` goes without, but in a table by days.
     """
     if k is None:
         return df
     ts = F.col("ts")
     untimed = df.filter(ts.isNull())
-    if bounded:
+    if bounded and (k > UNBOUNDED_CAP or "log_date" in df.columns):
         edge, total = _time_bound(df, order, k)
         inside = ts <= edge if is_asc(order) else ts >= edge
         if "log_date" in df.columns:

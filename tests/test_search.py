@@ -192,6 +192,24 @@ def test_cap_against_plain_sort(spark, seed):
                 assert sorted(r[0] for r in got) == sorted(r[1] for r in expected)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_bounded_cap_against_plain_sort(spark, monkeypatch, seed):
+    monkeypatch.setattr("logframe.operators.order.UNBOUNDED_CAP", 0)
+    test_cap_against_plain_sort(spark, seed)
+
+
+@pytest.mark.parametrize("unbounded", [1000, 0])
+def test_passes_before_a_cap(spark, catalog, monkeypatch, capsys, unbounded):
+    """A small cap needs none; a large one gets the time of the k-th row and the total from one."""
+    monkeypatch.setattr("logframe.operators.order.UNBOUNDED_CAP", unbounded)
+    cut = L.cap_entries(L.read_services(spark, catalog), "desc", 10, keep_null_ts=False)
+    cut.collect()
+    capsys.readouterr()
+    cut.explain()
+    plan = capsys.readouterr().out
+    assert ("ReusedSubquery" in plan) if unbounded == 0 else ("Subquery" not in plan)
+
+
 def test_untimed_entries_never_push_out_timed_ones(spark, tmp_path):
     (tmp_path / "log").mkdir()
     for i in range(12):
