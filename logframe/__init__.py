@@ -43,6 +43,7 @@ from logframe.sources.logs import (
     read_service_lines,
     read_services,
     resume,
+    scan_blocks,
 )
 from logframe.sources.table import read_entries, write_entries
 

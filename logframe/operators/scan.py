@@ -12,6 +12,7 @@ A block is at most so large; a longer entry goes on in further blocks with the s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,18 @@ class BlockScan:
         self.edges = self.lines.mapInArrow(_blocks(True, keep_blank, limit), _EDGE).repartition("file_id")
         self.files = file_ids(files).withColumnRenamed("file_id", "of")
 
+    def written(self, path: str) -> BlockScan:
+        """This scan with its edges and files from tables at ``path``, where they are written now.
+
+        For several searches of logs that stay as they are: none but this reads the logs for their edges.
+        """
+        spark, out = self.lines.sparkSession, copy(self)
+        self.edges.write.parquet(f"{path}/edges")
+        self.files.write.parquet(f"{path}/files")
+        out.edges = spark.read.schema(self.edges.schema).parquet(f"{path}/edges").repartition("file_id")
+        out.files = spark.read.schema(self.files.schema).parquet(f"{path}/files")
+        return out
+
     @property
     def splits(self) -> DataFrame:
         """A row for each service and split: opening lines, bytes, lines, and those of the file's splits before it."""

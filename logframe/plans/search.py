@@ -20,6 +20,7 @@ from logframe.operators import order as O
 from logframe.operators.filters import Moment, filter_entries, filters_on_block, is_set, merge_values
 from logframe.operators.parse import parse_entries
 from logframe.operators.query import filter_query, query_column, query_on_block
+from logframe.operators.scan import BlockScan
 from logframe.operators.summary import next_offsets, search_summary, summary_row
 from logframe.sources import logs
 from logframe.sources.catalog import Catalog, list_log_files, resolve_services
@@ -237,19 +238,31 @@ def search_entries(
 
 
 def search(
-    spark: SparkSession, catalog: Catalog, *, bounded: bool = True, index: DataFrame | None = None, **request
+    spark: SparkSession,
+    catalog: Catalog,
+    *,
+    bounded: bool = True,
+    index: DataFrame | None = None,
+    scan: BlockScan | None = None,
+    **request,
 ) -> SearchResult:
     """Search the active logs of the services.
 
     ``bounded`` finds the last time of a cap in a pass of its own. ``index`` (``read_log_index``) tells where a time
     range is; a search with a scan depth or byte cursors does not use it. The answer is the same either way.
+    ``scan`` (``scan_blocks`` of the same services, ``written``) saves the second and later searches of unchanged logs
+    their listing and the pass over the edges; a search with an index, a scan depth or byte cursors does not use it.
     """
     req = SearchRequest(**request)
     chosen = resolve_services(catalog, req.services)
+    if scan is not None and (scan.keep_blank, scan.keep_orphan) != (req.keep_blank, req.keep_orphan):
+        raise ValueError("The scan keeps other lines than the search asks for")
     ranged = req.from_ts is not None or req.to_ts is not None
     if index is not None and ranged and req.depth is None and not req.resumes:
         blocks = blocks_in_range(spark, chosen, index, req.from_ts, req.to_ts, **req.reading())
         return search_entries(parse_entries(blocks), req, bounded=bounded, parsing=True, catalog=chosen)
+    if scan is not None and req.depth is None and not req.resumes:
+        return search_entries(parse_entries(scan.blocks()), req, bounded=bounded, parsing=True, catalog=chosen)
     streamed = tuple(s for s in chosen if s.log_file.endswith(".gz"))
     plain = tuple(s for s in chosen if s not in streamed)
     # With a depth, gzip logs are read from their start and plain ones from the wanted end.

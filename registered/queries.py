@@ -629,11 +629,18 @@ def search_oldest_forward(spark, sf_dir):
 @query
 def resume_pages(spark, sf_dir):
     """Four pages of services with several files, each from the last entry of the one before."""
+    catalog, root = live_catalog(spark, sf_dir), X.scratch_dir(spark)
+    scan = L.scan_blocks(spark, catalog).written(f"{root}/scan")
     pages, after = [], None
     for number in range(4):
-        found = L.search(spark, live_catalog(spark, sf_dir), limit=300, after=after).page
+        found = L.search(spark, catalog, limit=300, after=after, scan=scan).page
+        found.write.parquet(f"{root}/page{number}")  # else each page is searched for again
+        found = spark.read.schema(found.schema).parquet(f"{root}/page{number}")
         pages.append(placed(found).withColumn("page", F.lit(number)))
-        after = found.tail(1)[0]
+        last = L.order_entries(found).tail(1)
+        if not last:
+            break
+        after = last[0]
     return reduce(DataFrame.unionByName, pages)
 
 

@@ -12,7 +12,8 @@ import logframe as L
 from logframe.operators.scan import BlockScan
 from logframe.sources.log_index import wanted_entries
 from logframe.sources.logs import scan_blocks
-from tests.test_assemble import CASES, plain_reading
+from registered import queries as Q
+from tests.test_assemble import CASES, final_plan, plain_reading
 
 FLAGS = [{}, {"keep_blank": True, "keep_orphan": False}]
 
@@ -219,3 +220,40 @@ def test_page_and_counts_come_from_one_job(spark, days, request_):
     else:
         with pytest.raises(ValueError):
             found.fetch()
+
+
+def test_a_listing_of_many_folders_takes_few_tasks(spark, tmp_path):
+    for i in range(260):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / "app.log").write_text("2026-04-02 03:30:00.000 INFO  [] [a,,] [m] l : one\n")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("many folders", "")
+    files = L.list_log_files(spark, L.service_catalog([("app", str(tmp_path))]))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("many folders") for s in tracker.getJobInfo(job).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 200
+    assert files.count() == 260
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_searches_of_one_written_scan(spark, days, tmp_path):
+    catalog, _, _ = days
+    scan = L.scan_blocks(spark, catalog).written(str(tmp_path / "scan"))
+    columns = ("file_path", "line_number", "file_offset", "raw_line")
+    after = None
+    for _ in range(3):
+        want = L.search(spark, catalog, limit=50, after=after).page
+        got = L.search(spark, catalog, limit=50, after=after, scan=scan).page
+        assert got.select(*columns).collect() == want.select(*columns).collect()
+        assert final_plan(got).count("FileScan text") == 1
+        after = want.tail(1)[0]
+    with pytest.raises(ValueError):
+        L.search(spark, catalog, scan=scan, keep_blank=True)
+
+
+def test_resume_pages_searches_once_a_page(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(Q, "placed", lambda df: read.append(df) or df.select("service", "file_offset"))
+    Q.resume_pages(spark, "/root/testdata/sf0.001").collect()
+    assert len(read) == 4 and all("FileScan text" not in final_plan(df) for df in read)
