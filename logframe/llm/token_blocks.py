@@ -73,7 +73,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, bytes]:
     rest = square - low[:, None]
     rank = int(np.ceil(BLOCK * PERCENTILE)) - 1
     width = np.searchsorted(_POWERS, np.partition(rest, rank, axis=1)[:, rank].astype(np.uint64), side="right")
-    beyond = (rest.astype(np.uint64) >> width.astype(np.uint64)[:, None]) > 0
+    beyond = rest > (_POWERS[width] - 1).astype(np.uint32)[:, None]
     beyond[-1, sizes[-1] :] = False
     header = np.zeros(count, _HEADER)
     header["low"], header["width"], header["n"], header["exceptions"] = low, width, sizes, beyond.sum(axis=1)
@@ -224,7 +224,9 @@ def crc32_combine(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
-def _joined_crc(parts: list) -> int:
+def _joined_crc(parts: list | None) -> int | None:
+    if parts is None:
+        return None
     crc = parts[0]["crc"]
     for p in parts[1:]:
         crc = crc32_combine(crc, p["crc"], 4 * p["length"])
@@ -247,7 +249,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         F.count("*").alias("parts"), F.min("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("at", "length", "crc"))).alias("list"),
     )
     columns = ["doc_id", (F.col("base") + F.col("doc_start")).alias("start"), "n_tokens"]
-    crc = F.when(F.col("parts") == 1, F.col("crc")).otherwise(F.udf(_joined_crc, LongType())("list")).alias("ids_crc32")
+    # Python sees every row, whatever stands around it: rows of one part have nothing for it
+    several = F.udf(_joined_crc, LongType())(F.when(F.col("parts") > 1, F.col("list")))
+    crc = F.when(F.col("parts") == 1, F.col("crc")).otherwise(several).alias("ids_crc32")
     return whole.join(bases, "shard").select(*columns, crc)
 
 

@@ -89,13 +89,11 @@ class PieceEncoder:
         known = self.known
         found = list(map(known.get, pieces))
         if None in found:
-            self.learn(list(dict.fromkeys(p for p, f in zip(pieces, found) if f is None)))
-            known = self.known
-            try:
-                return b"".join(map(known.__getitem__, pieces))
-            except KeyError:  # the cache was cut meanwhile
-                found = {p: f for p, f in zip(pieces, found) if f is not None}
-                return b"".join(known[p] if p in known else found[p] for p in pieces)
+            gaps = [i for i, f in enumerate(found) if f is None]
+            self.learn(list(dict.fromkeys([pieces[i] for i in gaps])))
+            known = self.known  # may have been cut, but holds what was new
+            for i in gaps:
+                found[i] = known[pieces[i]]
         return b"".join(found)
 
 

@@ -183,3 +183,19 @@ def test_hostile_counts(spark, coder):
         want[d, len((t or "").encode()), n, n > 2048] += 1
     assert got == want
     assert token_counts(empty(spark)).count() == 0
+
+
+def test_only_new_pieces_are_looked_up_again():
+    class Counted(dict):
+        read = []
+
+        def __getitem__(self, key):
+            self.read.append(key)
+            return super().__getitem__(key)
+
+    from logframe.llm.tokens import PieceEncoder, tokenizer_path
+
+    coder = PieceEncoder(tokenizer_path())
+    before = coder.encode("one two three")
+    coder.known = Counted(coder.known)
+    assert coder.encode("one two three zyxwv").startswith(before) and Counted.read == ["zyxwv"]
